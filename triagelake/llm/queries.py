@@ -8,12 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import benchmark_leaks as leaks
+from . import balanced_shards as shards
+from . import near_duplicates as near
 from . import pair_bpe, sorted_tables, token_counts
+from . import repeated_passages as passages
 from .common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.balanced_shards(table(spark, sf_dir, "documents"), 16)
+
+
+def op2_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op3_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.bpe_table(table(spark, sf_dir, "documents"))
 
@@ -36,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_pair_index_bpe, op6_suffix_automaton, op9_sorted_tables, op10_token_counts)}
+    return {f.__name__: f for f in (op1_karmarkar_karp, op2_simhash_pigeonhole, op3_suffix_sort, op5_pair_index_bpe, op6_suffix_automaton, op9_sorted_tables, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
