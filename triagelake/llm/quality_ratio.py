@@ -2,7 +2,7 @@
 
 Words and pairs of neighbours are hashed into a fixed number of buckets. Two multinomials over the
 buckets are estimated with add-one smoothing: one from the trusted target (documents labelled as
-good), one from all documents. A document's verdict is the mean over its n-grams of the log of their
+good, a bounded number of them), one from all documents. A document's verdict is the mean over its n-grams of the log of their
 ratio, held against a threshold that is fixed from labelled rows once; nothing is drawn at random.
 """
 
@@ -23,8 +23,9 @@ from .common import cut, text_or_empty
 from .token_counts import byte_batches
 
 BUCKETS = 1 << 16
-#: The threshold is fixed from at most so many labelled rows (those of the least hash of their identifier).
-TUNE_ROWS = 20_000
+#: The trusted target and the threshold come from at most so many labelled rows (those of the least hash
+#: of their identifier); the raw counts come from all documents.
+LABEL_ROWS = 20_000
 #: Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -125,17 +126,17 @@ def best_threshold(values: np.ndarray, good: np.ndarray) -> float:
     return float(v[-1]) + 1e-6 if k == len(v) else float(v[k - 1] + v[k]) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", tune_rows: int = TUNE_ROWS) -> RatioModel:
-    """Counts over all documents, a target of all documents labelled as good, and the threshold. Labels of
-    one identifier that disagree count as not good."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_rows: int = LABEL_ROWS) -> RatioModel:
+    """Raw counts over all documents; the target and the threshold from label_rows labelled rows at most.
+    Labels of one identifier that disagree count as not good."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") > 0).alias("good"))
-    marks = cut(marks)
-    labelled = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(marks.where("good"), F.col("__doc") == F.col("__id"), "left")
-    target, raw = bucket_counts(labelled, "text", F.col("__id").isNotNull())
+    # at most label_rows rows of two numbers, so this side is always small enough to broadcast
+    sample = F.broadcast(cut(marks.orderBy(F.xxhash64("__id"), "__id").limit(label_rows)))
+    plain = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    marked = plain.join(sample, F.col("__doc") == F.col("__id"), "left")
+    target, raw = bucket_counts(marked, "text", F.col("good"))
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    # at most tune_rows rows of two numbers
-    tune = marks.orderBy(F.xxhash64("__id"), "__id").limit(tune_rows)
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(tune), F.col("__doc") == F.col("__id"))
+    rows = plain.join(sample, F.col("__doc") == F.col("__id"))
     known = rows.select("good", _ratio_column(F.col("text"), ratio).alias("v")).toPandas()
     return RatioModel(ratio, best_threshold(known["v"].to_numpy(float), known["good"].to_numpy(bool)))
 
