@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 import pandas as pd
@@ -87,12 +88,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), "content")
 
 
+_SETTING = re.compile(r"""^(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(?:(["'])(.*?)\2|(.*?)(?:\s#.*)?)\s*$""")
+
+
 def read_env(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value) of a KEY=VALUE file: comments, `export `, quotes and trailing ` #` remarks."""
-    lines = spark.read.text(path).select(F.trim(F.translate("value", "﻿", "")).alias("line")).where("line <> '' and line not like '#%'")
-    parts = lines.select(F.regexp_extract("line", r"^(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*)$", 1).alias("name"), F.regexp_extract("line", r"=\s*(.*)$", 1).alias("raw")).where("name <> ''")
-    quoted = F.regexp_extract("raw", r"""^(["'])(.*?)\1""", 2)
-    return parts.select("name", F.when(F.col("raw").rlike(r"""^["']"""), quoted).otherwise(F.trim(F.regexp_replace("raw", r"\s#.*$", ""))).alias("value"))
+    """(name, value) of a KEY=VALUE file: comments, `export `, quotes and trailing ` #` remarks. Such files
+    belong to the driver and are hidden from Spark's readers by their names."""
+    with open(path, encoding="utf-8-sig") as f:
+        found = [m for line in f if (m := _SETTING.match(line.strip()))]
+    return spark.createDataFrame([(m[1], m[3] if m[2] else m[4]) for m in found], "name string, value string")
 
 
 PDF_TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("pages", T.IntegerType()), T.StructField("error", T.StringType())])
