@@ -42,10 +42,9 @@ def confidence(probs: Column) -> Column:
     return F.when(k == 0, F.lit(None).cast("double")).when(k == 1, F.lit(1.0)).otherwise(_spread(top, F.when(k > 1, k)))
 
 
-def pair(probs: Column) -> Column:
-    """(p, confidence, a, b) of the two likeliest options where both lead to the same lane, else null."""
-    r = ranked(probs)
-    a, b, k = F.try_element_at(r, F.lit(1)), F.try_element_at(r, F.lit(2)), F.size(_or_none(probs))
+def pair_of(r: Column) -> Column:
+    """(p, confidence, a, b) of the two likeliest of ranked options where both lead to the same lane, else null."""
+    a, b, k = F.try_element_at(r, F.lit(1)), F.try_element_at(r, F.lit(2)), F.size(r)
     same = F.lit(False)
     for x, y in SAME_LANE:
         same = same | ((a["key"] == x) & (b["key"] == y)) | ((a["key"] == y) & (b["key"] == x))
@@ -53,15 +52,25 @@ def pair(probs: Column) -> Column:
     return F.when(same, F.struct(both.alias("p"), _spread(both, F.when(k > 1, k)).alias("confidence"), a["key"].alias("a"), b["key"].alias("b")))
 
 
+def pair(probs: Column) -> Column:
+    return pair_of(ranked(probs))
+
+
+def top_two_of(r: Column, labels: dict[str, str]) -> Column:
+    """`A 46% vs B 46%`, of ranked options."""
+    said = lambda i: F.concat(label_of(F.try_element_at(r, F.lit(i))["key"], labels), F.lit(" "), pct(F.try_element_at(r, F.lit(i))["p"]))
+    return F.concat_ws(" vs ", F.when(F.size(r) > 0, said(1)), F.when(F.size(r) > 1, said(2)))
+
+
 def top_two(probs: Column, labels: dict[str, str]) -> Column:
-    """`A 46% vs B 46%`."""
-    return F.array_join(F.transform(F.slice(ranked(probs), 1, 2), lambda e: F.concat(label_of(e["key"], labels), F.lit(" "), pct(e["p"]))), " vs ")
+    return top_two_of(ranked(probs), labels)
 
 
 def normal_choice(raw: Column) -> Column:
     """A choice answer (choice, confidence, probabilities) with what is missing filled in."""
-    choice = F.coalesce(F.nullif(raw["choice"], F.lit("")), best_option(raw["probabilities"]))
-    p = F.try_element_at(F.filter(_or_none(raw["probabilities"]), lambda e: e["key"] == choice), F.lit(1))["p"]
+    given, first = F.nullif(raw["choice"], F.lit("")), F.try_element_at(ranked(raw["probabilities"]), F.lit(1))
+    choice = F.coalesce(given, first["key"])
+    p = F.when(given.isNull(), first["p"]).otherwise(F.try_element_at(F.filter(_or_none(raw["probabilities"]), lambda e: e["key"] == given), F.lit(1))["p"])
     return F.struct(
         choice.alias("choice"),
         p.alias("p"),

@@ -62,14 +62,16 @@ def decide(emails: DataFrame, shop: Shop, today: dt.date, bars: dict[str, float]
     et, pr, ex, ur, vol = (a[n] for n in ("email_type", "process", "export_controlled", "urgency", "volume"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
 
-    df = emails.withColumns(
+    # ranked once; everything about the likeliest options is read from these
+    df = emails.withColumns({"et_ranked": an.ranked(et["probabilities"]), "pr_ranked": an.ranked(pr["probabilities"])})
+    df = df.withColumns(
         {
             "cad_attachments": att.cad_names(F.col("attachments")),
             "marked": att.marked_names(F.col("attachments")),
             "et_conf": zero(et["confidence"]),
             "pr_conf": zero(pr["confidence"]),
             "vol_conf": zero(vol["confidence"]),
-            "pair": an.pair(et["probabilities"]),
+            "pair": an.pair_of(F.col("et_ranked")),
             "et_label": tx.label_of(et["choice"], EMAIL_TYPE_LABELS),
             "pr_label": tx.label_of(pr["choice"], labels),
             "is_rfq": F.coalesce(et["choice"].isin(*RFQ), F.lit(False)),
@@ -95,11 +97,11 @@ def decide(emails: DataFrame, shop: Shop, today: dt.date, bars: dict[str, float]
     asked = ~restricted & sure & ~et["choice"].isin(*OUTSIDE, *ORDER)
     reason = (
         F.when(restricted, F.lit("Export-controlled technical data. Only U.S. persons may handle it, so it skips the shared queues."))
-        .when(~sure, _say(f"{model} is unsure what kind of email this is: ", an.top_two(et["probabilities"], EMAIL_TYPE_LABELS), "."))
+        .when(~sure, _say(f"{model} is unsure what kind of email this is: ", an.top_two_of(F.col("et_ranked"), EMAIL_TYPE_LABELS), "."))
         .when(et["choice"].isin(*OUTSIDE), _say(col("et_label"), ", not customer work."))
         .when(et["choice"].isin(*ORDER), _say(col("et_label"), " for an existing job."))
         .when(pr["choice"] == MIXED, F.lit("Mixed processes or not enough detail to pick an estimator."))
-        .when(col("pr_conf") < b["process_confidence"], _say(f"{model} is torn between estimators: ", an.top_two(pr["probabilities"], labels), "."))
+        .when(col("pr_conf") < b["process_confidence"], _say(f"{model} is torn between estimators: ", an.top_two_of(F.col("pr_ranked"), labels), "."))
         .otherwise(_say(col("pr_label"), " work, ", pct(pr["p"]), " probability."))
     )
     meter = F.struct(
@@ -246,7 +248,7 @@ def _action(shop: Shop) -> Column:
     itar_body = F.when(is_rfq, _say(hi, "Thanks for the RFQ. We received ", received, " and it is being handled by our export-controlled quoting team (U.S. persons only).", promise, sign)).when(
         is_order, _say(hi, "Thanks for your note. We received ", received, " and our export-controlled team (U.S. persons only) will get back to you by end of day.", service_sign)
     )
-    guess = F.when(is_rfq, an.top_two(pr["probabilities"], shop.process_labels())).otherwise(an.top_two(et["probabilities"], EMAIL_TYPE_LABELS))
+    guess = F.when(is_rfq, an.top_two_of(F.col("pr_ranked"), shop.process_labels())).otherwise(an.top_two_of(F.col("et_ranked"), EMAIL_TYPE_LABELS))
     review_title = _say(col("owner"), f" ({shop.review.role}) confirms where this goes. {shop.model_name}'s best guesses: ", guess, ".")
     lacking = F.size("missing") > 0
     ask = F.when(lacking, _say(" To give you an accurate price, could you send ", F.array_join("missing", " and "), "?")).otherwise(promise)

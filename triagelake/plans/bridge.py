@@ -30,10 +30,10 @@ def customers(spark: SparkSession) -> DataFrame:
     return policy.first_of_domain(spark.createDataFrame(rows, "ord long, domain string, name string, tier string, account_manager string"))
 
 
-def _weighted(keys: list[str], weight) -> Column:
-    w = [weight(i) for i in range(len(keys))]
-    total = sum(w[1:], w[0]).cast("double")
-    return F.array(*[F.struct(F.lit(k).alias("key"), (x / total).alias("p")) for k, x in zip(keys, w)])
+def _shares(keys: list[str], w: Column) -> Column:
+    """Weights (an array column) as options with probabilities."""
+    total = sum((w[i] for i in range(1, len(keys))), w[0]).cast("double")
+    return F.array(*[F.struct(F.lit(k).alias("key"), (w[i] / total).alias("p")) for i, k in enumerate(keys)])
 
 
 def _choice(probs: Column) -> Column:
@@ -45,12 +45,16 @@ def with_answers(df: DataFrame, k: Column) -> DataFrame:
     """df with answers that follow from a key: every lane's branch and every tie rule is met."""
     bonus = lambda when, n: F.when(when, F.lit(n)).otherwise(F.lit(0))
     div = lambda n: F.floor(k / n)
-    kind = _weighted(list(EMAIL_TYPE_LABELS), lambda i: 1 + (k * (2 * i + 7) + 13 * i) % 41 + bonus((k % 5 != 0) & (k % 6 == i), 400) + bonus((k % 5 == 0) & (div(5) % 3 == i // 2), 150))
-    process = _weighted(list(SHOP.process_labels()), lambda i: 1 + (k * (2 * i + 11) + 17 * i) % 37 + bonus((k % 7 != 0) & (div(6) % 4 == i), 250))
-    volume = _weighted(list(VOLUME_LABELS), lambda i: 1 + (k * (2 * i + 23) + 29 * i) % 31 + bonus((k % 9 != 0) & (div(24) % 4 == i), 250))
-    urgency = _weighted(["0", "1", "2", "3"], lambda i: 1 + (k * (2 * i + 13) + 7 * i) % 23 + bonus(div(3) % 4 == i, 200))
+    weights = lambda n, of: F.array(*[of(i) for i in range(n)])
+    kind = weights(6, lambda i: 1 + (k * (2 * i + 7) + 13 * i) % 41 + bonus((k % 5 != 0) & (k % 6 == i), 400) + bonus((k % 5 == 0) & (div(5) % 3 == i // 2), 150))
+    process = weights(4, lambda i: 1 + (k * (2 * i + 11) + 17 * i) % 37 + bonus((k % 7 != 0) & (div(6) % 4 == i), 250))
+    volume = weights(4, lambda i: 1 + (k * (2 * i + 23) + 29 * i) % 31 + bonus((k % 9 != 0) & (div(24) % 4 == i), 250))
+    urgency = weights(4, lambda i: 1 + (k * (2 * i + 13) + 7 * i) % 23 + bonus(div(3) % 4 == i, 200))
     p = lambda c: F.struct(c.alias("p"))
+    # in steps, so that each array is made once
     df = df.withColumns({"__kind": kind, "__process": process, "__volume": volume, "__urgency": urgency})
+    keys = {"__kind": list(EMAIL_TYPE_LABELS), "__process": list(SHOP.process_labels()), "__volume": list(VOLUME_LABELS), "__urgency": ["0", "1", "2", "3"]}
+    df = df.withColumns({c: _shares(names, F.col(c)) for c, names in keys.items()})
     df = df.withColumns({"__kind": _choice(F.col("__kind")), "__process": _choice(F.col("__process")), "__volume": _choice(F.col("__volume"))})
     u = F.col("__urgency")
     score = F.struct(an.expected_score(u).alias("score"), an.confidence(u).alias("confidence"), F.lit(True).alias("confidence_estimated"), u.alias("probabilities"), F.lit(None).cast("map<string,string>").alias("legend"))
