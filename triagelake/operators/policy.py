@@ -106,10 +106,13 @@ def decide(emails: DataFrame, shop: Shop, today: dt.date, bars: dict[str, float]
     )
     meter = F.struct(
         F.when(restricted, F.lit("ITAR / CUI likelihood")).otherwise(F.lit("Confidence")).alias("label"),
-        F.when(restricted, ex["p"]).when(asked, F.least(col("route_conf"), col("pr_conf"))).otherwise(col("route_conf")).alias("value"),
-        F.when(restricted, b["export_control_restrict"]).when(asked & (col("pr_conf") <= col("route_conf")), b["process_confidence"]).otherwise(b["email_type_confidence"]).alias("threshold"),
+        F.when(restricted, ex["p"]).when(col("asked"), F.least(col("route_conf"), col("pr_conf"))).otherwise(col("route_conf")).alias("value"),
+        F.when(restricted, b["export_control_restrict"]).when(col("asked") & (col("pr_conf") <= col("route_conf")), b["process_confidence"]).otherwise(b["email_type_confidence"]).alias("threshold"),
     )
-    df = df.withColumns({"lane": lane, "asked": asked, "reason": reason, "meter": meter, "process_ok": process_ok})
+    # A generator of one row: filters on the lane stay above it. Through a projection they would be pushed
+    # down with all that the lane is made from written out, once for each time it is used.
+    df = df.select("*", F.inline(F.array(F.struct(lane.alias("lane"), asked.alias("asked"), process_ok.alias("process_ok")))))
+    df = df.withColumns({"reason": reason, "meter": meter})
 
     drawings, quantity = a["drawings_provided"]["p"], a["quantity_given"]["p"]
     no_drawings = col("is_rfq") & (F.size("cad_attachments") == 0) & (drawings < b["drawings_provided"])
