@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scan_parallelism, text_or_empty
+from .common import cut, give_back, scan_parallelism, text_or_empty
 
 MIN, GRAM = 400, 100
 #: Anchors of one gram that meet in one task; the windows of more are compared by their hashes.
@@ -113,9 +113,15 @@ class _Contexts:
         self.after, self.before = size - at, at
         self.base = np.cumsum(size) - size
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        rel = np.arange(len(self.data)) - np.repeat(self.base, size)
         powers, self.inverse = _tables(int(size.max()) + 1)
-        self.prefix = _prefix(self.data, powers[rel])
+        self.prefix = np.zeros(len(self.data) + 1, np.uint64)
+        # some contexts at once: the sums take eight bytes for one, what they are made from three times that
+        step = max(1, (1 << 18) // int(size.max()))
+        for k in range(0, len(texts), step):
+            sizes = size[k : k + step]
+            begin, end = int(self.base[k]), int(self.base[k] + sizes.sum())
+            rel = np.arange(begin, end) - np.repeat(self.base[k : k + step], sizes)
+            self.prefix[begin : end + 1] = _prefix(self.data[begin:end], powers[rel]) + self.prefix[begin]
 
     def _hash(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of the substrings of contexts x from begin to end, places counted from the context's start."""
@@ -315,6 +321,8 @@ def _emit(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
         held.append(now)
     if held:
         yield flush(held)
+    held, now = [], {}
+    give_back()
 
 
 def _merge_starts(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -342,7 +350,8 @@ def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram:
     each = base.where(F.size("place") > 0).groupBy("sha").agg(F.any_value("place").alias("place"), F.any_value("first").alias("first"), F.any_value("gram").alias("gram"))
     each = cut(each)
     one = each.select("sha", F.posexplode("gram").alias("k", "gram"))
-    shared = one.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own: the join with it can be split where a gram is common
+    shared = cut(one.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
     wanted = one.join(shared, "gram").groupBy("sha").agg(F.collect_list(F.struct("k", (F.col("n") > hot).alias("hot"))).alias("ks"))
     wanted = wanted.join(each, "sha")
 
