@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm import benchmark_leaks, near_duplicates, pair_bpe, pseudonyms, toxic_passages
-from triagelake.llm.common import shared_path, table
+from triagelake.llm.common import bound_batches, shared_path, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    bound_batches(spark)
     return near_duplicates.keep_first(docs)
 
 
@@ -25,11 +26,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms."""
+    bound_batches(spark)
     return pseudonyms.pseudonymise(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' digests of what is left."""
+    bound_batches(spark)
     return pair_bpe.bpe_table(docs)
 
 

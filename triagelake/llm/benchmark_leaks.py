@@ -12,6 +12,7 @@ import hashlib
 import re
 import uuid
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 WINDOW = 10
 #: Item texts in one automaton; a larger benchmark is handled in blocks of this size, one after the other.
 BLOCK_BYTES = 8 << 20
@@ -169,14 +172,18 @@ def hits_column(spark: SparkSession, block: list[tuple[str, str]], text: Column,
     shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
     @F.pandas_udf(HITS)
-    def hits(texts: pd.Series) -> pd.DataFrame:
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         auto = _automaton(key, shared, window)
-        rows = []
-        for text in texts:
-            seq = words(text)
-            runs, found = auto.stream(seq)
-            rows.append((len(seq), [x for r in runs for x in r], sorted({auto.names[k] for k in found})))
-        return pd.DataFrame(rows, columns=["n_words", "runs", "items"])
+        for texts in batches:
+            rows = []
+            for text in texts:
+                seq = words(text)
+                runs, found = auto.stream(seq)
+                rows.append((len(seq), [x for r in runs for x in r], sorted({auto.names[k] for k in found})))
+            yield pd.DataFrame(rows, columns=["n_words", "runs", "items"])
+        del auto
+        _automaton.cache_clear()
+        give_back()
 
     return hits(text)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, scan_parallelism, text_or_empty
+from .common import cut, give_back, scan_parallelism, text_or_empty
 from .components import components
 
 RADIUS = 3
@@ -46,9 +46,11 @@ def _fingerprint(text: str) -> int:
 
 
 @F.pandas_udf(T.LongType())
-def simhash(texts: pd.Series) -> pd.Series:
+def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """SimHash of the whole text's 3-word shingles, as a signed long; null and wordless texts have 0."""
-    return pd.Series(np.array([_fingerprint(t) if t else 0 for t in texts], np.uint64).view(np.int64))
+    for texts in batches:
+        yield pd.Series(np.array([_fingerprint(t) if t else 0 for t in texts], np.uint64).view(np.int64))
+    give_back()
 
 
 def _bits(f: np.ndarray) -> np.ndarray:

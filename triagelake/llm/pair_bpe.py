@@ -11,7 +11,8 @@ import hashlib
 import heapq
 import json
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tokenizer_path
+from .common import give_back, tokenizer_path
 from .token_counts import byte_batches
 
-BATCH_BYTES = 4 << 20
-CACHE_CHUNKS = 400_000
+BATCH_BYTES = 1 << 20
+CACHE_CHUNKS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -41,8 +42,8 @@ class PairIndexBPE:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.suffix: str = spec["model"]["end_of_word_suffix"] or ""
@@ -54,12 +55,22 @@ class PairIndexBPE:
         self.merges = {(v[a], v[b]): (r, v[a + b]) for r, (a, b) in enumerate(merges)}
         self.letters = byte_letters()
         self.split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.lib = Tokenizer.from_file(path)
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.plain = re.compile(r"[\x21-\x7e\xa1-\xac\xae-˿]*").fullmatch
         self.word_ids: dict[str, tuple[int, ...]] = {}
         self.chunk_out: dict[str, tuple[bytes, bytes]] = {}
 
+    @cached_property
+    def lib(self):
+        """The library, for letters whose normal form is not obvious."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def forget(self) -> None:
+        self.word_ids.clear()
+        self.chunk_out.clear()
+
     def symbols(self, word: str) -> list[int]:
         """A pre-token's first symbols: one for each byte, the last with the end-of-word suffix."""
         letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -208,11 +219,18 @@ def bpe_digests(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     path = tokenizer_path(vocabulary)
 
     @F.arrow_udf(CODED)
-    def digests(texts: pa.Array) -> pa.Array:
-        bpe, rows = pair_index_bpe(path), []
-        for part in _texts(texts):
-            rows += [{"n_tokens": len(i) // 4, "ids_sha256": hashlib.sha256(i).hexdigest(), "decoded_sha256": hashlib.sha256(d).hexdigest()} for i, d in bpe.encode(part)]
-        return pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = pair_index_bpe(path)
+        for texts in batches:
+            rows = []
+            for part in _texts(texts):
+                rows += [{"n_tokens": len(i) // 4, "ids_sha256": hashlib.sha256(i).hexdigest(), "decoded_sha256": hashlib.sha256(d).hexdigest()} for i, d in bpe.encode(part)]
+            yield pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+        # a stage's last task may be any: the next stage's workers shouldn't hold tables they don't use
+        bpe.forget()
+        del bpe
+        pair_index_bpe.cache_clear()
+        give_back()
 
     return digests(text)
 

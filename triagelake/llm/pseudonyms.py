@@ -11,13 +11,15 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 ROUNDS = 10
 DEFAULT_KEY = "public example key; give your own"
 
@@ -196,19 +198,21 @@ def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> Column:
     names = [f"n_{k}" for k, *_ in KINDS]
 
     @F.pandas_udf(FOUND)
-    def replace(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            found = find(t, secret) if t else []
-            if found:
-                parts, at = [], 0
-                for a, b, _, new in found:
-                    parts += (t[at:a], new)
-                    at = b
-                t = "".join([*parts, t[at:]])
-            kinds = [k for _, _, k, _ in found]
-            rows.append((t, *(kinds.count(k[2:]) for k in names)))
-        return pd.DataFrame(rows, columns=["text", *names])
+    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                found = find(t, secret) if t else []
+                if found:
+                    parts, at = [], 0
+                    for a, b, _, new in found:
+                        parts += (t[at:a], new)
+                        at = b
+                    t = "".join([*parts, t[at:]])
+                kinds = [k for _, _, k, _ in found]
+                rows.append((t, *(kinds.count(k[2:]) for k in names)))
+            yield pd.DataFrame(rows, columns=["text", *names])
+        give_back()
 
     return replace(text)
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scan_parallelism, tokenizer_path
+from .common import give_back, scan_parallelism, tokenizer_path
 from .token_counts import byte_batches, encoder
 
 MAGIC = b"TLSSTBL1"
@@ -255,6 +255,8 @@ def write_tables(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
                     writer.add(key_of(k), np.append(ids, np.uint32(end_id)))
         if writer is not None:
             close()
+        enc.cache.clear()
+        give_back()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("partition", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())]))
 
     made = rows.mapInArrow(write, "partition int, number int, file string, entries long, ids long").collect()

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import give_back, tokenizer_path
 
 BATCH_BYTES = 4 << 20
 LONG_BYTES = 1 << 20
@@ -179,7 +179,11 @@ def token_counts(docs: DataFrame, text_col: str = "text", out_col: str = "n_toke
     path = tokenizer_path(vocabulary)
 
     @F.arrow_udf("long")
-    def lengths(texts: pa.Array) -> pa.Array:
-        return pa.array(count_tokens(texts.cast(pa.string()), encoder(path)))
+    def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoder(path)
+        for texts in batches:
+            yield pa.array(count_tokens(texts.cast(pa.string()), enc))
+        enc.cache.clear()
+        give_back()
 
     return docs.withColumn(out_col, lengths(F.col(text_col)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, scan_parallelism
+from .common import cut, give_back, scan_parallelism
 
 #: The classifier is fitted on at most so many labelled rows (those of the least hash of their identifier).
 TRAIN_ROWS = 10_000
@@ -36,6 +36,10 @@ PER_TEXT = 3
 PREFIXES = (4, 5, 6, 7, 8)
 #: A segment is significant if ordinary text of this length has a better one with at most this probability.
 SEGMENT_P = 0.05
+#: Words whose scores a worker keeps.
+CACHE_WORDS = 100_000
+#: Features that a task counts before it hands them on.
+COUNT_ROWS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -90,9 +94,9 @@ class ToxicityModel:
         cache = self.cache
         for w in set(seq):
             if w not in cache:
-                if len(cache) > 500_000:
+                if len(cache) > CACHE_WORDS:
                     cache.clear()
-                    return self.word_scores(seq) if len(set(seq)) < 400_000 else np.array([self.word_score(w) for w in seq])
+                    return self.word_scores(seq) if len(set(seq)) < CACHE_WORDS else np.array([self.word_score(w) for w in seq])
                 cache[w] = self.word_score(w)
         return np.fromiter(map(cache.__getitem__, seq), np.float64, len(seq))
 
@@ -151,8 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = cut(training_rows(docs, labels, id_col, text_col, limit).repartition(min(64, scan_parallelism(spark))))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: dict[str, list[int]] = {"": [0, 0]}
+        frame_of = lambda rows: pd.DataFrame([(f, *n) for f, n in rows.items()], columns=["feature", "clean", "toxic"])
         for frame in frames:
+            rows: dict[str, list[int]] = {"": [0, 0]}
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 here: Counter = Counter()
                 for w, n in Counter(words(text)).items():
@@ -162,7 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                         here[f] += n
                 for f, n in here.items():
                     rows.setdefault(f, [0, 0])[int(toxic > 0)] += min(n, PER_TEXT) if f else n
-        yield pd.DataFrame([(f, *n) for f, n in rows.items()], columns=["feature", "clean", "toxic"])
+                if len(rows) > COUNT_ROWS:
+                    yield frame_of(rows)
+                    rows = {"": [0, 0]}
+            yield frame_of(rows)
+        give_back()
 
     counts = cut(train.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     totals = counts.where("feature = ''").first()
@@ -256,13 +265,16 @@ def toxicity(text: Column, model: ToxicityModel) -> Column:
     Null and empty texts have no passage and the least score that the model gives."""
 
     @F.pandas_udf(FOUND)
-    def find(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            found = model.passages(words(text))
-            spans = sorted((a, b) for n, a, b in found if model.significant(n))
-            rows.append((model.score(model.evidence(found)), len(spans), [x for s in spans for x in s]))
-        return pd.DataFrame(rows, columns=["score", "n_passages", "spans"])
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for text in texts:
+                found = model.passages(words(text))
+                spans = sorted((a, b) for n, a, b in found if model.significant(n))
+                rows.append((model.score(model.evidence(found)), len(spans), [x for s in spans for x in s]))
+            yield pd.DataFrame(rows, columns=["score", "n_passages", "spans"])
+        model.cache.clear()
+        give_back()
 
     return find(text)
 
