@@ -21,7 +21,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items go, and documents that are little else."""
-    return benchmark_leaks.remove_leaks(benchmark_leaks.benchmark_leaks(docs, table(spark, sf_dir, "benchmark")))
+    found = benchmark_leaks.benchmark_leaks(docs, table(spark, sf_dir, "benchmark"), max_run=benchmark_leaks.WINDOW)
+    return benchmark_leaks.remove_leaks(found, max_run=benchmark_leaks.WINDOW)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -210,18 +210,55 @@ LEAKS = T.StructType(
 )
 
 
+def _leaks(n: int, parts: list[list[int]], names: list[list[str]]) -> tuple:
+    merged = _merged([list(map(int, p)) for p in parts])
+    ids = sorted({x for p in names for x in p})
+    return (int(n), sum(b - a for a, b in merged), max((b - a for a, b in merged), default=0), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), [x for r in merged for x in r])
+
+
 @F.pandas_udf(LEAKS)
 def _summary(n_words: pd.Series, runs: pd.Series, items: pd.Series) -> pd.DataFrame:
-    rows = []
-    for n, parts, names in zip(n_words, runs, items):
-        merged = _merged([list(map(int, p)) for p in parts])
-        ids = sorted({x for p in names for x in p})
-        rows.append((int(n), sum(b - a for a, b in merged), max((b - a for a, b in merged), default=0), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), [x for r in merged for x in r]))
-    return pd.DataFrame(rows, columns=[f.name for f in LEAKS])
+    return pd.DataFrame([_leaks(n, parts, names) for n, parts, names in zip(n_words, runs, items)], columns=[f.name for f in LEAKS])
+
+
+def _without(text: str | None, runs, max_run: int) -> str | None:
+    """The text without its hit runs of max_run words or more."""
+    cut = [(int(runs[i]), int(runs[i + 1])) for i in range(0, len(runs), 2) if runs[i + 1] - runs[i] >= max_run] if runs is not None else []
+    if text is None or not cut:
+        return text
+    spans, parts, at = _positions(text), [], 0
+    for a, b in cut:
+        parts.append(text[at : spans[a][0]])
+        at = spans[b - 1][1]
+    return "".join([*parts, text[at:]])
+
+
+def _one_block(spark: SparkSession, block: list[tuple[str, str]], text: Column, window: int, max_run: int | None) -> Column:
+    """All of it in one function, so that a task has one Python worker. With max_run the struct also has
+    `cleaned`, the text without long hit runs."""
+    shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    names = [f.name for f in LEAKS] + (["cleaned"] if max_run else [])
+
+    @F.pandas_udf(T.StructType([*LEAKS.fields, *([T.StructField("cleaned", T.StringType())] if max_run else [])]))
+    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        auto = _automaton(key, shared, window)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                seq = words(text)
+                runs, found = auto.stream(seq)
+                row = _leaks(len(seq), [[x for r in runs for x in r]], [[auto.names[k] for k in found]])
+                rows.append((*row, _without(text, row[-1], max_run)) if max_run else row)
+            yield pd.DataFrame(rows, columns=names)
+        del auto
+        _automaton.cache_clear()
+        give_back()
+
+    return leaks(text)
 
 
 def benchmark_leaks(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "leaks", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "leaks", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, max_run: int | None = None
 ) -> DataFrame:
     """docs with one more column, a struct: n_words, n_hit (words inside any occurrence of a window),
     longest_hit (words of the longest hit run), n_items, items_sha256, runs (hit runs as word positions
@@ -232,6 +269,8 @@ def benchmark_leaks(
     Streaming is one pass a block, without a shuffle; a block is bounded by block_bytes."""
     spark = docs.sparkSession
     blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes) or [[]]
+    if len(blocks) == 1:
+        return docs.withColumn(out_col, _one_block(spark, blocks[0], F.col(text_col), window, max_run))
     parts = [hits_column(spark, b, F.col(text_col), window) for b in blocks]
     tmp = [f"__block_{out_col}_{i}" for i in range(len(parts))]
     out = docs
@@ -253,21 +292,13 @@ def remove_leaks(docs: DataFrame, text_col: str = "text", leaks_col: str = "leak
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, runs: pd.Series) -> pd.Series:
-        out = []
-        for text, r in zip(texts, runs):
-            cut = [(int(r[i]), int(r[i + 1])) for i in range(0, len(r), 2) if r[i + 1] - r[i] >= max_run] if r is not None else []
-            if text is not None and cut:
-                spans, parts, at = _positions(text), [], 0
-                for a, b in cut:
-                    parts.append(text[at : spans[a][0]])
-                    at = spans[b - 1][1]
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        return pd.Series(out, dtype=object)
+        return pd.Series([_without(t, r, max_run) for t, r in zip(texts, runs)], dtype=object)
 
     leaks = F.col(leaks_col)
+    # made already, where benchmark_leaks was given the same max_run
+    done = leaks["cleaned"] if "cleaned" in docs.schema[leaks_col].dataType.names else cleaned(F.col(text_col), leaks["runs"])
     kept = docs.where(~(leaks["n_hit"] > max_share * leaks["n_words"]) | (leaks["n_hit"] == 0))
-    return kept.withColumn(text_col, F.when(leaks["longest_hit"] >= max_run, cleaned(F.col(text_col), leaks["runs"])).otherwise(F.col(text_col))).drop(leaks_col)
+    return kept.withColumn(text_col, F.when(leaks["longest_hit"] >= max_run, done).otherwise(F.col(text_col))).drop(leaks_col)
 
 
 __all__ = ["SuffixAutomaton", "benchmark_leaks", "remove_leaks", "words"]
