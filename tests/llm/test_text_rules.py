@@ -126,6 +126,32 @@ def test_threshold():
     assert qr.best_threshold(v, np.ones(5, bool)) == -float("inf")
 
 
+def test_all_labels_count(spark):
+    n = 24_000  # the last 2,000 have words of their own
+    text = lambda i: f"{'good' if i % 2 else 'bad'} w{i % 97}" + f" late{i % 3}" * (i >= 22_000)
+    docs = spark.createDataFrame([(i, text(i)) for i in range(n)] + [(None, "good x"), (7, "again seven"), (n + 5, "good unknown")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id int, quality int")
+    model = qr.fit(docs, labels)
+    import pyarrow as pa
+
+    rows = [tuple(r) for r in docs.collect()]
+    count = lambda texts: np.bincount(qr.hashed_ngrams(pa.array(texts))[0], minlength=qr.BUCKETS)
+    target, raw = count([t for i, t in rows if i is not None and i < n and i % 2]), count([t for _, t in rows])
+    assert np.allclose(model.ratio, np.log((target + 1) / (target.sum() + qr.BUCKETS)) - np.log((raw + 1) / (raw.sum() + qr.BUCKETS)))
+    known = [(i, t) for i, t in rows if i is not None and i < n]
+    values = np.round(qr.RatioModel(model.ratio.astype(np.float32), 0.0).values(pa.array([t for _, t in known])), 6)
+    assert model.threshold == qr.best_threshold(values, np.array([i % 2 == 1 for i, _ in known]))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_threshold_over_rows(spark, seed):
+    rnd = np.random.default_rng(seed)
+    g = rnd.random(3000) < [0.4, 0.02, 0.5, 1][seed]
+    v = np.round(rnd.normal(0, [1, 0.001, 0, 1][seed], 3000) + 0.7 * g, 6)
+    rows = spark.createDataFrame(list(zip(v.tolist(), g.tolist())), "v double, good boolean")
+    assert qr.threshold_of(rows) == qr.best_threshold(v, g)
+
+
 # pseudonyms
 
 KEY = b"k" * 32

@@ -2,8 +2,8 @@
 
 Words and pairs of neighbours are hashed into a fixed number of buckets. Two multinomials over the
 buckets are estimated with add-one smoothing: one from the trusted target (documents labelled as
-good, a bounded number of them), one from all documents. A document's verdict is the mean over its n-grams of the log of their
-ratio, held against a threshold that is fixed from labelled rows once; nothing is drawn at random.
+good), one from all documents. A document's verdict is the mean over its n-grams of the log of their
+ratio, held against a threshold that is fixed from all labelled rows once; nothing is drawn at random.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +23,10 @@ from .common import cut, text_or_empty
 from .token_counts import byte_batches
 
 BUCKETS = 1 << 16
-#: The trusted target and the threshold come from at most so many labelled rows (those of the least hash
-#: of their identifier); the raw counts come from all documents.
-LABEL_ROWS = 20_000
+#: Bits of the sieve that keeps most texts without a label out of a shuffle, as a power of two: 8 MB at most.
+SIEVE_BITS = 26
+#: Log ratios have six decimals, so a cell of this many to one has 1,000 values at most.
+CELLS = 1000
 #: Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -60,28 +61,35 @@ def _parts(texts: pa.Array) -> Iterator[pa.Array]:
         yield texts.slice(a, b - a)
 
 
-def bucket_counts(docs: DataFrame, text_col: str, good: Column) -> tuple[np.ndarray, np.ndarray]:
-    """How often each bucket occurs in the documents that are good, and in all. Tasks add up first; the
-    driver gets a row a bucket."""
+def bucket_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How often each bucket occurs in the documents. Tasks add up first; the driver gets a row a bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            target, at = b.column("good").to_numpy(zero_copy_only=False), 0
             for part in _parts(b.column("text")):
-                buckets, n = hashed_ngrams(part)
-                total[1] += np.bincount(buckets, minlength=BUCKETS)
-                total[0] += np.bincount(buckets[np.repeat(target[at : at + len(part)], n)], minlength=BUCKETS)
-                at += len(part)
-        some = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], names=["bucket", "target", "raw"])
-
-    plain = docs.select(F.col(text_col).alias("text"), F.coalesce(good, F.lit(False)).alias("good"))
-    rows = plain.mapInArrow(count, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target"), F.sum("raw")).collect()
-    out = np.zeros((2, BUCKETS), np.int64)
+                total += np.bincount(hashed_ngrams(part)[0], minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()
+    out = np.zeros(BUCKETS, np.int64)
     for r in rows:
-        out[:, r[0]] = r[1], r[2]
-    return out[0], out[1]
+        out[r[0]] = r[1]
+    return out
+
+
+def _sieved(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of docs (__doc, ...) whose identifier has a bit of those of marks (__id): all that marks
+    has, and a few others. The bits are of a fixed size, so they are broadcast whatever the number of marks."""
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << SIEVE_BITS))
+    place, block = F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))), F.shiftright("at", 15)
+    bits = cut(marks.select(at("__id").alias("at")).groupBy(block.alias("__block")).agg(place.alias("__bits")))
+    bit = F.col("__at").bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    has = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+    own = docs.where(F.col("__doc").isNotNull()).withColumn("__at", at("__doc"))
+    return own.join(F.broadcast(bits), F.shiftright("__at", 15) == F.col("__block")).where(has).select(*docs.columns)
 
 
 @dataclass
@@ -126,19 +134,48 @@ def best_threshold(values: np.ndarray, good: np.ndarray) -> float:
     return float(v[-1]) + 1e-6 if k == len(v) else float(v[k - 1] + v[k]) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_rows: int = LABEL_ROWS) -> RatioModel:
-    """Raw counts over all documents; the target and the threshold from label_rows labelled rows at most.
-    Labels of one identifier that disagree count as not good."""
+def threshold_of(scored: DataFrame) -> float:
+    """best_threshold of all rows (v, of six decimals, and good). Rows are counted by value; the driver gets
+    the counts of cells of values, and running sums are made within the cells."""
+    counts = scored.groupBy("v").agg(F.count_if(~F.col("good")).alias("bad"), F.count_if("good").alias("good"))
+    counts = cut(counts.withColumn("cell", F.floor(F.col("v") * CELLS)))
+    cells = counts.groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.min("v").alias("v")).orderBy("cell").collect()
+    n_bad, n_good = sum(r.bad for r in cells), sum(r.good for r in cells)
+    if not n_bad or not n_good:
+        return -float("inf")
+    starts, bad, good = [], 0, 0
+    for r, then in zip(cells, [*cells[1:], None]):
+        starts.append((r.cell, bad, good, then.v if then else None))
+        bad, good = bad + r.bad, good + r.good
+    starts = scored.sparkSession.createDataFrame(starts, "cell long, bad_before long, good_before long, next_cell double")
+    order = Window.partitionBy("cell").orderBy("v")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = counts.select("cell", "v", F.sum("bad").over(upto).alias("bad"), F.sum("good").over(upto).alias("good"), F.lead("v").over(order).alias("then"))
+    cuts = sums.join(F.broadcast(starts), "cell")
+    gain = (F.col("bad_before") + F.col("bad")) / F.lit(n_bad) + (1 - (F.col("good_before") + F.col("good")) / F.lit(n_good))
+    best = cuts.select(F.struct(gain.alias("gain"), (-F.col("v")).alias("low"), F.coalesce("then", "next_cell").alias("then")).alias("s")).agg(F.max("s").alias("s")).first().s
+    if best.gain <= 1:  # as good as below everything
+        return -float("inf")
+    v = -best.low
+    return v + 1e-6 if best.then is None else (v + best.then) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> RatioModel:
+    """Raw counts over all documents, the target over all that are labelled as good, and the threshold from
+    all labelled ones. Labels of one identifier that disagree count as not good.
+
+    Texts without a label stay where they are; those labelled as good (and a few others that the sieve
+    lets through) are dealt by identifier once. Scores are joined with labels as pairs of numbers. Joins
+    are hash joins at any size."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") > 0).alias("good"))
-    # at most label_rows rows of two numbers, so this side is always small enough to broadcast
-    sample = F.broadcast(cut(marks.orderBy(F.xxhash64("__id"), "__id").limit(label_rows)))
+    marks = cut(marks)
     plain = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
-    marked = plain.join(sample, F.col("__doc") == F.col("__id"), "left")
-    target, raw = bucket_counts(marked, "text", F.col("good"))
+    same, right = F.col("__doc") == F.col("__id"), marks.where("good")
+    target = bucket_counts(_sieved(plain, right).join(right.hint("shuffle_hash"), same, "left_semi"), "text")
+    raw = bucket_counts(plain, "text")
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    rows = plain.join(sample, F.col("__doc") == F.col("__id"))
-    known = rows.select("good", _ratio_column(F.col("text"), ratio).alias("v")).toPandas()
-    return RatioModel(ratio, best_threshold(known["v"].to_numpy(float), known["good"].to_numpy(bool)))
+    scores = _sieved(plain, marks).select("__doc", _ratio_column(F.col("text"), ratio).alias("v"))
+    return RatioModel(ratio, threshold_of(scores.join(marks.hint("shuffle_hash"), same).select("v", "good")))
 
 
 BASE = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
