@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triagelake.llm import benchmark_leaks, near_duplicates, pair_bpe, pseudonyms, toxic_passages
+from triagelake.llm import benchmark_leaks, pair_bpe, pseudonyms, similar_texts, toxic_passages
 from triagelake.llm.common import bound_batches, shared_path, table
 
 
@@ -14,9 +14,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: five-word shingles, a similarity of 0.8 or more."""
     bound_batches(spark)
-    return near_duplicates.keep_first(docs)
+    return similar_texts.keep_first_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,7 +237,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each component: that of the smallest identifier (null identifiers come last;
     among equal ones the text of the least SHA-256). Columns stay as they are; of rows with the same
     identifier and text any one stays, whole."""
-    found = near_duplicates(docs, id_col, text_col, radius)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with the row of each component of found (doc_id, sha, component) that keep_first takes."""
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
     keys = found.groupBy("component", "doc_id", "sha").agg(F.count("*").alias("rows"))
     least = cut(keys.groupBy("component").agg(F.min_by("rows", one).alias("rows"), F.min(one).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.sha").alias("__sha"), "rows"))
@@ -249,4 +253,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stay.drop("__key")
 
 
-__all__ = ["allocate", "keep_first", "near_duplicates", "simhash"]
+__all__ = ["allocate", "keep_first", "keep_least", "near_duplicates", "simhash"]

@@ -79,7 +79,7 @@ def bucket_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def _sieved(docs: DataFrame, marks: DataFrame) -> DataFrame:
+def sieved(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The rows of docs (__doc, ...) whose identifier has a bit of those of marks (__id): all that marks
     has, and a few others. The bits are of a fixed size, so they are broadcast whatever the number of marks."""
     at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << SIEVE_BITS))
@@ -171,10 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = cut(marks)
     plain = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     same, right = F.col("__doc") == F.col("__id"), marks.where("good")
-    target = bucket_counts(_sieved(plain, right).join(right.hint("shuffle_hash"), same, "left_semi"), "text")
+    target = bucket_counts(sieved(plain, right).join(right.hint("shuffle_hash"), same, "left_semi"), "text")
     raw = bucket_counts(plain, "text")
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    scores = _sieved(plain, marks).select("__doc", _ratio_column(F.col("text"), ratio).alias("v"))
+    scores = sieved(plain, marks).select("__doc", _ratio_column(F.col("text"), ratio).alias("v"))
     return RatioModel(ratio, threshold_of(scores.join(marks.hint("shuffle_hash"), same).select("v", "good")))
 
 
