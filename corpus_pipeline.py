@@ -21,8 +21,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items go, and documents that are little else."""
-    found = benchmark_leaks.benchmark_leaks(docs, table(spark, sf_dir, "benchmark"), max_run=benchmark_leaks.WINDOW)
-    return benchmark_leaks.remove_leaks(found, max_run=benchmark_leaks.WINDOW)
+    # every hit run holds a whole window, or a whole item of fewer words: none is too short to cut
+    found = benchmark_leaks.benchmark_leaks(docs, table(spark, sf_dir, "benchmark"), max_run=1)
+    return benchmark_leaks.remove_leaks(found, max_run=1)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

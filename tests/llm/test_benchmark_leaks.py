@@ -72,3 +72,15 @@ def test_removal(spark):
     out = {r.doc_id: r.text for r in leaks.remove_leaks(leaks.benchmark_leaks(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))).collect()}
     assert 2 not in out and out[3] == "nothing at all" and out[4] is None
     assert out[1].startswith("Start here, ; then the end. clean") and "eleven" not in out[1].lower()
+
+
+def test_the_stage_cuts_short_items(spark, tmp_path):
+    import corpus_pipeline
+
+    items = [("short", "which planet is red"), ("long", " ".join(f"q{k}" for k in range(12)))]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rest = " ".join(f"w{k}" for k in range(20))
+    texts = [f"{rest} Which planet is RED? {rest}", f"{rest} {items[1][1]} {rest}", f"{rest} planet is red {rest}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()}
+    assert out == {0: f"{rest} ? {rest}", 1: f"{rest}  {rest}", 2: texts[2]}
