@@ -71,6 +71,14 @@ def test_pair_bpe_on_odd_texts(odd, no_rows):
     assert {r["rank"]: r.d for r in back} == {k: tok.decode(tok.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for k, (_, t) in enumerate(ODD)}
 
 
+def test_pair_bpe_with_separators_and_special_strings(spark):
+    tok = library("word_bpe_49k.json")
+    texts = ["a \x1c b<|endoftext|>", "<|startoftext|>x\x1fy \x1d\x1e<|endoftext|> \x0b z\u0085w\u00a0v \u2003u\u2028t<|endoftext|>", "a \x1c b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pair_bpe.bpe_table(docs).collect()}
+    assert got == {k: digest(tok, t) for k, t in enumerate(texts)}
+
+
 def test_pair_index_merges_words_together():
     bpe, tok = pair_bpe.PairIndexBPE(tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
     words = ["aaaaaaa", "banana", "b", "ananas", "thethethe", "aaaa"]

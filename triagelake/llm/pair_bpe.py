@@ -27,6 +27,8 @@ from .token_counts import byte_batches
 
 BATCH_BYTES = 1 << 20
 CACHE_CHUNKS = 200_000
+#: Chunks between ASCII white space, as pyarrow's ascii_split_whitespace makes them.
+ASCII_CHUNKS = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
 
 
 def byte_letters() -> list[str]:
@@ -167,7 +169,7 @@ class PairIndexBPE:
         """A text that has strings of added tokens: these first, the rest between them as chunks."""
         ids, decoded, at = [], [], 0
         for m in [*self.split_added.finditer(text), None]:
-            for i, d in self.chunks(text[at : m.start() if m else len(text)].split()) if at < len(text) else ():
+            for i, d in self.chunks(ASCII_CHUNKS(text[at : m.start() if m else len(text)])) if at < len(text) else ():
                 ids.append(i)
                 decoded += [d] if d else []
             if m:
