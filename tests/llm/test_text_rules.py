@@ -200,6 +200,23 @@ def test_values_are_found_whole_and_linked():
     assert ps.find("x" * 300_000 + "1" * 300_000 + "a." * 100_000, KEY) == []
 
 
+def test_ibans_before_upper_case_words_and_short_dates():
+    for text in ("BE68 5390 0754 7034 IN", "BE68539007547034 PLEASE", "PAY XX12 ABCD BE68 5390 0754 7034 NOW OR NEVER", "BE68 5390 0754 7034 GB82 WEST 1234 5698 7654 32 OK"):
+        found = ps.find(text, KEY)
+        got = [text[a:b].replace(" ", "") for a, b, k, _ in found if k == "iban"]
+        assert got == ["BE68539007547034", *(["GB82WEST12345698765432"] if "GB82" in text else [])]
+        assert all(ps._iban(new, KEY) and len(new) == b - a for a, b, _, new in found)
+    assert ps.find("BE68 5390 0754 7035 IN", KEY) == []
+    text = "1/5/2020 3.4.1987 2021-7-9 12/5/2020 01/05/2020"
+    found = ps.find(text, KEY)
+    assert [k for _, _, k, _ in found] == ["date"] * 5
+    news = [new for _, _, _, new in found]
+    parts = lambda s: list(map(int, re.split(r"[-/.]", s)))
+    assert parts(news[0]) == parts(news[4]) and len(news[4]) == 10 and len({tuple(parts(x)) for x in news}) == 4
+    assert all(not re.search(r"(?<!\d)0", x) for x in news[:3])
+    assert ps.find("31/2/2020 1.2.3 0/5/2020 1.2.2020.7", KEY) == []
+
+
 def test_pseudonyms_of_the_table(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries()["op8_feistel_pseudonyms"](spark, sf).collect()

@@ -104,12 +104,14 @@ def _date(s: str, key: bytes) -> str | None:
         return None
     if not _FIRST_DAY <= day.toordinal() <= _LAST_DAY:
         return None
+    # parts without a leading zero stay so; they become two digits where the new day or month needs them
+    width = 1 if any(len(p) == 1 for p in (a, b, c)) else 2
     new = dt.date.fromordinal(_FIRST_DAY + permute(day.toordinal() - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date"))
     if len(a) == 4:
-        return f"{new.year:04d}{s[4]}{new.month:02d}{s[-len(c) - 1]}{new.day:02d}"
+        return f"{new.year:04d}{s[4]}{new.month:0{width}d}{s[-len(c) - 1]}{new.day:0{width}d}"
     month_first = _day(int(c), int(b), int(a)) is None
     x, y = (new.month, new.day) if month_first else (new.day, new.month)
-    return f"{x:02d}{s[len(a)]}{y:02d}{s[-len(c) - 1]}{new.year:04d}"
+    return f"{x:0{width}d}{s[len(a)]}{y:0{width}d}{s[-len(c) - 1]}{new.year:04d}"
 
 
 def _day(year: int, month: int, day: int) -> dt.date | None:
@@ -160,6 +162,25 @@ def _iban(s: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(new) for c in s)
 
 
+#: How long an IBAN of a country is.
+IBAN_LENGTH = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+
+
+def _iban_ends(s: str) -> list[int]:
+    """Where an IBAN that s begins with may end: at its country's length if a word ends there, or with s."""
+    at = [i + 1 for i, c in enumerate(s) if c != " "]
+    n = IBAN_LENGTH.get(s[:2], 0)
+    return [at[n - 1], len(s)] if 0 < n < len(at) and s[at[n - 1]] == " " else [len(s)]
+
+
 #: Kinds in the order of precedence, their patterns, and what is in a text that can match.
 KINDS: list[tuple[str, str, str, Callable[[str, bytes], str | None]]] = [
     ("email", r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,8}\.?(?<=[A-Za-z0-9])", "@", _email),
@@ -168,7 +189,7 @@ KINDS: list[tuple[str, str, str, Callable[[str, bytes], str | None]]] = [
     ("card", r"(?<!\d)(?<!\d[.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)", "", _card),
     ("ipv4", r"(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", ".", _ipv4),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", "-", _ssn),
-    ("date", r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d/-]|\.\d)", "", _date),
+    ("date", r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)", "", _date),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\w+.(-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])", "", _phone),
 ]
 _COMPILED = [(kind, re.compile(pattern), need, make) for kind, pattern, need, make in KINDS]
@@ -182,9 +203,16 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     for kind, pattern, need, make in _COMPILED:
         if (need and need not in text) or (not digits and kind != "email"):
             continue
-        for m in pattern.finditer(text):
-            if all(m.end() <= a or b <= m.start() for a, b, _, _ in taken) and (new := make(m[0], key)) is not None:
-                taken.append((m.start(), m.end(), kind, new))
+        at = 0
+        while (m := pattern.search(text, at)) is not None:
+            begin, at = m.start(), m.end()
+            for end in [begin + n for n in _iban_ends(m[0])] if kind == "iban" else [at]:
+                if all(end <= a or b <= begin for a, b, _, _ in taken) and (new := make(text[begin:end], key)) is not None:
+                    taken.append((begin, end, kind, new))
+                    at = end
+                    break
+            else:  # what isn't an IBAN may hold one
+                at = begin + 2 if kind == "iban" else at
     return sorted(taken)
 
 
