@@ -82,7 +82,22 @@ def test_pair_bpe_with_separators_and_special_strings(spark):
 def test_pair_index_merges_words_together():
     bpe, tok = pair_bpe.PairIndexBPE(tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
     words = ["aaaaaaa", "banana", "b", "ananas", "thethethe", "aaaa"]
-    assert [list(x) for x in bpe.merge_words(words)] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+    flat, counts = bpe.merge_words([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_what_is_kept_is_bounded_by_bytes():
+    store = token_counts.ChunkStore(3000)
+    asked = []
+
+    def encode(chunks):
+        asked.append(len(chunks))
+        return np.array([ord(c[0]) for c in chunks], np.uint32), np.ones(len(chunks), np.int64)
+
+    for chunks in (["a", "b"], ["b", "c"], [chr(200 + i) for i in range(40)], ["a", "b"], []):
+        flat, counts = store.ids(chunks, encode)
+        assert flat.tolist() == [ord(c) for c in chunks] and store.used <= 3000
+    assert asked == [2, 1, 40, 2]
 
 
 def expected_tables(rows):

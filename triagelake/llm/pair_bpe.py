@@ -2,7 +2,8 @@
 
 The new words of a batch lie in one symbol sequence. Each mergeable pair is mapped to all the
 positions where it stands; ranks with positions are taken in ascending order, all positions of a
-rank are merged in one sweep, and the pairs that this makes enter the lists of their ranks.
+rank are merged in one sweep, and the pairs that this makes enter the lists of their ranks. A sweep
+is a handful of array operations however many positions it has.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import give_back, tokenizer_path
-from .token_counts import byte_batches
+from .token_counts import ChunkStore, byte_batches, taken
 
-BATCH_BYTES = 1 << 20
-CACHE_CHUNKS = 200_000
+#: Bytes of text whose new words are merged together, and whose ids are put together at once.
+BATCH_BYTES, JOIN_BYTES = 8 << 20, 1 << 20
+#: Bytes of chunks and their ids that a worker keeps from batch to batch and from task to task.
+KEPT_BYTES = 64 << 20
 #: Chunks between ASCII white space, as pyarrow's ascii_split_whitespace makes them.
 ASCII_CHUNKS = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
 
@@ -40,7 +42,7 @@ def byte_letters() -> list[str]:
 
 
 class PairIndexBPE:
-    """Merges words (as symbol lists) by a pair occurrence index."""
+    """Merges words by a pair occurrence index."""
 
     def __init__(self, path: str):
         import regex
@@ -50,17 +52,23 @@ class PairIndexBPE:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.suffix: str = spec["model"]["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
+        v, self.letters = self.vocab, byte_letters()
+        names = {i: s for s, i in v.items()} | {i: s for s, i in self.added.items()}
+        self.tokens = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.large_string())
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        v = self.vocab
-        #: pair of ids -> (rank, id of the merged symbol)
-        self.merges = {(v[a], v[b]): (r, v[a + b]) for r, (a, b) in enumerate(merges)}
-        self.letters = byte_letters()
+        #: For each rank: the two symbols and what they become; then the pairs' codes, sorted, with their ranks.
+        self.pairs = np.array([(v[a], v[b], v[a + b]) for a, b in merges], np.int64)
+        codes = self.pairs[:, 0] << 32 | self.pairs[:, 1]
+        self.code_rank = np.argsort(codes, kind="stable")
+        self.codes = codes[self.code_rank]
+        #: A byte's symbol inside a word, and at a word's end.
+        self.inner = np.array([v[x] for x in self.letters], np.int64)
+        self.final = np.array([v[x + self.suffix] for x in self.letters], np.int64)
         self.split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern + r"|\n").findall  # a line's end parts chunks
         self.plain = re.compile(r"[\x21-\x7e\xa1-\xac\xae-˿]*").fullmatch
-        self.word_ids: dict[str, tuple[int, ...]] = {}
-        self.chunk_out: dict[str, tuple[bytes, bytes]] = {}
+        self.kept = ChunkStore(KEPT_BYTES)
 
     @cached_property
     def lib(self):
@@ -69,152 +77,185 @@ class PairIndexBPE:
 
         return Tokenizer.from_file(self.path)
 
-    def forget(self) -> None:
-        self.word_ids.clear()
-        self.chunk_out.clear()
-
-    def symbols(self, word: str) -> list[int]:
-        """A pre-token's first symbols: one for each byte, the last with the end-of-word suffix."""
-        letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        letters[-1] += self.suffix
-        return [self.vocab[x] for x in letters]
-
-    def merge_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word. All words share one index; a border keeps them apart."""
-        sym: list[int] = []
-        begins = []
-        for w in words:
-            begins.append(len(sym))
-            sym += self.symbols(w)
-            sym.append(-1)
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges = self.merges
-        where: dict[int, list[int]] = {}
-        pair_of: dict[int, tuple[int, int, int]] = {}
-        for i in range(n - 1):
-            if (m := merges.get((sym[i], sym[i + 1]))) is not None:
-                rank = m[0]
-                if rank in where:
-                    where[rank].append(i)
-                else:
-                    where[rank] = [i]
-                    pair_of[rank] = (sym[i], sym[i + 1], m[1])
-        active = list(where)
-        heapq.heapify(active)
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, -1 for those that don't merge (a border is -1, no symbol)."""
+        code = left << 32 | right
+        at = np.searchsorted(self.codes, code)
+        at[at == len(self.codes)] = 0
+        return np.where((self.codes[at] == code) & (left >= 0), self.code_rank[at], -1)
+
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has. All words share one index; a
+        border keeps them apart."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size + 1)  # of each word with its border
+        n = int(end[-1])
+        sym = np.full(n + 1, -1)
+        letters = np.ones(n, bool)
+        letters[end - 1] = False
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sym[:n][letters] = self.inner[data]
+        last = np.cumsum(size) - 1
+        sym[(end - 2)[size > 0]] = self.final[data[last[size > 0]]]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        # the index: positions in the order of their ranks, and where each rank's begin; later ones in lists
+        rank = self._ranks(sym[:-1], sym[1:])
+        places = np.flatnonzero(rank >= 0)
+        places = places[np.argsort(rank[places], kind="stable")]
+        first, begin = np.unique(rank[places], return_index=True)
+        listed = dict(zip(first.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(places)])))
+        added: dict[int, list[int]] = {}
+        active = first.tolist()  # ascending, so a heap already
         while active:
-            rank = heapq.heappop(active)
-            places = where.pop(rank)
-            places.sort()
-            a, b, ab = pair_of[rank]
-            for i in places:
-                j = after[i]
-                if sym[i] != a or j >= n or sym[j] != b:
-                    continue  # another merge has taken one of the two since it was listed
-                sym[i], sym[j] = ab, -2
-                k = after[i] = after[j]
-                if k < n:
-                    before[k] = i
-                    if sym[k] >= 0 and (m := merges.get((ab, sym[k]))) is not None:
-                        self._list(where, pair_of, active, m, ab, sym[k], i)
-                if (h := before[i]) >= 0 and sym[h] >= 0 and (m := merges.get((sym[h], ab))) is not None:
-                    self._list(where, pair_of, active, m, sym[h], ab, h)
-        out = []
-        for at in begins:
-            ids = []
-            while sym[at] != -1:
-                ids.append(sym[at])
-                at = after[at]
-            out.append(tuple(ids))
-        return out
+            r = heapq.heappop(active)
+            b, e = listed.pop(r, (0, 0))
+            p = places[b:e]
+            if (more := added.pop(r, None)) is not None:
+                p = np.unique(np.concatenate([p, np.array(more)]))
+            x, y, xy = self.pairs[r].tolist()
+            j = after[p]
+            # a symbol that another merge has taken since it was listed is no longer what it was
+            still = (sym[p] == x) & (sym[j] == y)
+            if not still.all():
+                p, j = p[still], j[still]
+            if x == y and len(p) > 1:
+                p, j = self._apart(p, j)
+            if not len(p):
+                continue
+            sym[p], sym[j] = xy, -2
+            k = after[j]
+            after[p], before[k] = k, p
+            h = before[p]
+            at = np.concatenate([p, h])
+            new = self._ranks(sym[at], sym[np.concatenate([k, p])])
+            made = np.flatnonzero(new >= 0)
+            for q, i in zip(new[made].tolist(), at[made].tolist()):
+                if q in added:
+                    added[q].append(i)
+                else:
+                    added[q] = [i]
+                    if q not in listed:
+                        heapq.heappush(active, q)
+        alive = sym[:n] >= 0
+        return sym[:n][alive].astype(np.uint32), np.add.reduceat(alive, end - size - 1, dtype=np.int64)
 
     @staticmethod
-    def _list(where, pair_of, active, m, left, right, at) -> None:
-        if m[0] in where:
-            where[m[0]].append(at)
-        else:
-            where[m[0]] = [at]
-            pair_of[m[0]] = (left, right, m[1])
-            heapq.heappush(active, m[0])
-
-    def pre_tokens(self, chunk: str) -> list[str]:
-        """Normalised pre-tokens of a chunk without ASCII white space."""
-        if self.plain(chunk):  # these letters are their own NFC form, and their case does not depend on others
-            return self.pieces(chunk.lower())
+    def _apart(p: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of positions of a symbol twice, in ascending order, those that are merged from left to right: in a
+        run of the symbol, every second one."""
+        taken_, keep = -1, []
+        for k, (a, b) in enumerate(zip(p.tolist(), j.tolist())):
+            if a != taken_:
+                keep.append(k)
+                taken_ = b
+        return p[keep], j[keep]
+
+    def pre_tokens(self, chunk: str) -> list[bytes]:
+        """Normalised pre-tokens of a chunk without ASCII white space, by the library."""
         from_letter = {c: b for b, c in enumerate(self.letters)}
-        out = []
-        for piece, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(chunk)):
-            out.append(bytes(from_letter[c] for c in piece).decode("utf-8", "surrogatepass"))
-        return out
-
-    def chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each chunk: its ids as little-endian unsigned 32-bit integers, and its tokens decoded."""
-        known = self.chunk_out
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > CACHE_CHUNKS:
-                known.clear()
-                self.word_ids.clear()
-                new = list(dict.fromkeys(chunks))
-            split = [self.pre_tokens(c) for c in new]
-            words = list(dict.fromkeys(w for ws in split for w in ws if w not in self.word_ids))
-            self.word_ids.update(zip(words, self.merge_words(words)))
-            ids_of, token = self.word_ids, self.token
-            for c, ws in zip(new, split):
-                ids = [i for w in ws for i in ids_of[w]]
-                known[c] = (np.array(ids, "<u4").tobytes(), " ".join([token[i] for i in ids]).encode())
-        return [known[c] for c in chunks]
-
-    def _special(self, text: str) -> tuple[bytes, bytes]:
+        norm = self.lib.normalizer.normalize_str(chunk)
+        return [bytes(from_letter[c] for c in piece) for piece, _ in self.lib.pre_tokenizer.pre_tokenize_str(norm)]
+
+    def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after the other, and how many each has."""
+        # these letters are their own NFC form, and their case does not depend on others
+        plain = [c for c in chunks if self.plain(c)]
+        odd = [c for c in chunks if not self.plain(c)] if len(plain) < len(chunks) else []
+        words: dict[str, int] = {}
+        of: list[int] = []  # the words of all chunks
+        line: list[int] = []  # and where each chunk's end
+        if plain:
+            for w in self.pieces("\n".join(plain).lower()):
+                if w == "\n":
+                    line.append(len(of))
+                else:
+                    of.append(words.setdefault(w, len(words)))
+            line.append(len(of))
+        number = {w.encode("utf-8", "surrogatepass"): i for w, i in words.items()}
+        for c in odd:
+            of += [number.setdefault(w, len(number)) for w in self.pre_tokens(c)]
+            line.append(len(of))
+        ids, n = self.merge_words(list(number))
+        flat, size = taken(ids, np.cumsum(n) - n, n, np.array(of, np.int64))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.array(line, np.int64)]
+        counts = np.diff(np.concatenate([[0], ends]))
+        if not odd:
+            return flat, counts
+        # back from plain ones first to the order asked for
+        place = {c: i for i, c in enumerate([*plain, *odd])}
+        order = np.array([place[c] for c in chunks])
+        return taken(flat, np.cumsum(counts) - counts, counts, order)
+
+    def _special(self, text: str) -> np.ndarray:
         """A text that has strings of added tokens: these first, the rest between them as chunks."""
-        ids, decoded, at = [], [], 0
+        ids, at = [], 0
         for m in [*self.split_added.finditer(text), None]:
-            for i, d in self.chunks(ASCII_CHUNKS(text[at : m.start() if m else len(text)])) if at < len(text) else ():
-                ids.append(i)
-                decoded += [d] if d else []
+            chunks = ASCII_CHUNKS(text[at : m.start() if m else len(text)])
+            if chunks:
+                ids.append(self.kept.ids(chunks, self._encode_new)[0])
             if m:
-                ids.append(np.array([self.added[m[0]]], "<u4").tobytes())
-                decoded.append(m[0].encode())
+                ids.append(np.array([self.added[m[0]]], np.uint32))
                 at = m.end()
-        return b"".join(ids), b" ".join(decoded)
+        return np.concatenate([np.zeros(0, np.uint32), *ids])
 
-    def encode(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
-        """For each text its ids (bytes) and the decoded text (bytes)."""
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of some texts after the other, and how many each has; batch by batch, in order."""
         hard = pa.array(np.zeros(len(texts), bool))
         for s in self.added:
             hard = pc.or_(hard, pc.match_substring(texts, s))
-        lists = pc.ascii_split_whitespace(texts)
-        offsets = lists.offsets.to_numpy()
+        hard = hard.to_numpy(zero_copy_only=False)
+        easy = texts if not hard.any() else pc.if_else(pa.array(hard), "", texts)
+        lists = pc.ascii_split_whitespace(easy)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        pairs = self.chunks(coded.dictionary.to_pylist())
-        ids, decoded = [p[0] for p in pairs], [p[1] for p in pairs]
-        index = coded.indices.to_pylist()
-        base = offsets[0]
-        out = []
-        for k, special in enumerate(hard.to_pylist()):
-            if special:
-                out.append(self._special(texts[k].as_py()))
-            else:
-                part = index[offsets[k] - base : offsets[k + 1] - base]
-                out.append((b"".join([ids[i] for i in part]), b" ".join([d for i in part if (d := decoded[i])])))
-        return out
+        chunks = coded.dictionary.to_pylist()
+        index = coded.indices.to_numpy()
+        offsets -= offsets[0]
+        # white space at a text's ends makes empty chunks, which have no ids
+        known, begin, size = self.kept.find(chunks, self._encode_new)
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        for a, b in byte_batches(sizes, JOIN_BYTES):
+            flat, each = taken(known, begin, size, index[offsets[a] : offsets[b]])
+            counts = np.diff(np.concatenate([[0], np.cumsum(each)])[offsets[a : b + 1] - offsets[a]])
+            if hard[a:b].any():
+                parts = np.split(flat, np.cumsum(counts)[:-1])
+                for k in np.flatnonzero(hard[a:b]):
+                    parts[k] = self._special(texts[a + int(k)].as_py())
+                    counts[k] = len(parts[k])
+                flat = np.concatenate(parts)
+            yield flat, counts
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The text of each run of ids: tokens joined by a space, as the library does without a decoder."""
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), self.tokens.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
 
 
 @lru_cache(maxsize=2)
 def pair_index_bpe(path: str) -> PairIndexBPE:
+    """One for each Python worker and file; what it keeps is bounded by bytes."""
     return PairIndexBPE(path)
 
 
 CODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def _texts(texts: pa.Array):
-    texts = pc.fill_null(texts.cast(pa.string()), "")
+def _texts(texts: pa.Array) -> Iterator[pa.Array]:
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     for a, b in byte_batches(sizes, BATCH_BYTES):
         yield texts.slice(a, b - a)
 
 
+def _slices(data, ends: np.ndarray) -> Iterator[memoryview]:
+    view, at = memoryview(data), 0
+    for e in ends.tolist():
+        yield view[at:e]
+        at = e
+
+
 def bpe_digests(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     """A struct column: n_tokens, ids_sha256, decoded_sha256 of a text's encoding and its decoding.
     Null is as empty: no ids, and the digests of no bytes."""
@@ -224,14 +265,14 @@ def bpe_digests(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = pair_index_bpe(path)
         for texts in batches:
-            rows = []
+            n, of_ids, of_text = [], [], []
             for part in _texts(texts):
-                rows += [{"n_tokens": len(i) // 4, "ids_sha256": hashlib.sha256(i).hexdigest(), "decoded_sha256": hashlib.sha256(d).hexdigest()} for i, d in bpe.encode(part)]
-            yield pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
-        # a stage's last task may be any: the next stage's workers shouldn't hold tables they don't use
-        bpe.forget()
-        del bpe
-        pair_index_bpe.cache_clear()
+                for flat, counts in bpe.encode(part):
+                    n.append(counts)
+                    of_ids += [hashlib.sha256(x).hexdigest() for x in _slices(flat.astype("<u4").tobytes(), 4 * np.cumsum(counts))]
+                    decoded = bpe.decode(flat, counts)
+                    of_text += [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *n])), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], CODED.names)
         give_back()
 
     return digests(text)
@@ -242,9 +283,12 @@ def bpe_encode(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     path = tokenizer_path(vocabulary)
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        rows = [np.frombuffer(i, "<u4").astype(np.int32) for part in _texts(texts) for i, _ in pair_index_bpe(path).encode(part)]
-        return pa.array(rows, pa.list_(pa.int32()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = pair_index_bpe(path)
+        for texts in batches:
+            rows = [r for part in _texts(texts) for flat, counts in bpe.encode(part) for r in np.split(flat.astype(np.int32), np.cumsum(counts)[:-1])]
+            yield pa.array(rows, pa.list_(pa.int32()))
+        give_back()
 
     return encode(text)
 
@@ -254,14 +298,17 @@ def bpe_decode(ids: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     does without a decoder. Null and empty arrays give the empty text."""
     path = tokenizer_path(vocabulary)
 
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
-        token = pair_index_bpe(path).token
-        return rows.map(lambda r: "" if r is None else " ".join(token[int(i)] for i in r))
+    @F.arrow_udf("string")
+    def decode(rows: pa.Array) -> pa.Array:
+        counts = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        return pair_index_bpe(path).decode(rows.flatten().to_numpy(zero_copy_only=False), counts).cast(pa.string())
 
     return decode(ids)
 
 
 def bpe_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """One row a document: its identifier, n_tokens, ids_sha256, decoded_sha256."""
-    return docs.select(F.col(id_col), bpe_digests(F.col(text_col), vocabulary).alias("__coded")).select(id_col, "__coded.*")
+    """One row for each row of docs, repeats included: its identifier (of any type, null too), n_tokens,
+    ids_sha256, decoded_sha256. Other columns are left out, so their names clash with nothing; a table
+    without rows gives one without rows."""
+    coded = docs.select(F.col(id_col).alias("k"), bpe_digests(F.col(text_col), vocabulary).alias("c"))
+    return coded.select(F.col("k").alias(id_col), "c.*")

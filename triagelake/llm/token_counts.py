@@ -30,6 +30,65 @@ _RUN = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat that index names, one after the other, and their sizes; run i has size[i] from begin[i]."""
+    n = size[index]
+    ends = np.cumsum(n)
+    shift = begin[index] - (ends - n)
+    return flat[np.repeat(shift, n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+
+class ChunkStore:
+    """Ids of chunks that were encoded before, in one buffer, bounded by bytes: what does not fit makes the
+    store start anew. It outlives a task, so a worker encodes a frequent chunk once."""
+
+    def __init__(self, most_bytes: int):
+        self.most_bytes = most_bytes
+        self._empty()
+
+    def _empty(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 12, np.int64)  # entry i + 1: where chunk i's ids end
+        self.held = self.used = 0
+
+    def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(a):
+            return a
+        out = np.zeros(max(n, len(a) * 3 // 2), a.dtype)
+        out[: len(a)] = a
+        return out
+
+    def find(self, chunks: list[str], encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct chunks: a buffer of ids, and where in it each chunk's begin and how many there are.
+        encode(new chunks) gives their ids one after the other, and how many each has."""
+        at = self.at
+        new = [c for c in chunks if c not in at]
+        if new:
+            if self.used + sum(map(len, new)) + 120 * len(new) > self.most_bytes and self.at:
+                self._empty()
+                at, new = self.at, chunks
+            ids, counts = encode(new)
+            n, m = len(at), int(self.ends[len(at)])
+            self.flat = self._grown(self.flat, m + len(ids))
+            self.ends = self._grown(self.ends, n + len(new) + 1)
+            self.flat[m : m + len(ids)] = ids
+            self.ends[n + 1 : n + len(new) + 1] = m + np.cumsum(counts)
+            at.update(zip(new, range(n, n + len(new))))
+            self.used += sum(map(len, new)) + 120 * len(new) + 4 * len(ids)  # strings, their entries, ids
+        k = np.fromiter(map(at.__getitem__, chunks), np.int64, len(chunks))
+        begin, size, flat = self.ends[k], self.ends[k + 1] - self.ends[k], self.flat
+        if self.used > self.most_bytes:  # one batch alone is more
+            self._empty()
+        return flat, begin, size
+
+    def ids(self, chunks: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks (repeats are fine), one after the other, and how many each has."""
+        distinct = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+        flat, begin, size = self.find(list(distinct), encode)
+        return taken(flat, begin, size, np.fromiter((distinct[c] for c in chunks), np.int64, len(chunks)))
+
+
 class ChunkEncoder:
     """Encodes with the tokenizers library, each distinct chunk once while it stays in the cache."""
 
