@@ -87,17 +87,19 @@ def test_pair_index_merges_words_together():
 
 
 def test_what_is_kept_is_bounded_by_bytes():
-    store = token_counts.ChunkStore(3000)
+    import pyarrow as pa
+
+    store = token_counts.ChunkStore(1000)
     asked = []
 
     def encode(chunks):
         asked.append(len(chunks))
-        return np.array([ord(c[0]) for c in chunks], np.uint32), np.ones(len(chunks), np.int64)
+        return np.array([ord(c[0]) for c in chunks.to_pylist()], np.uint32), np.ones(len(chunks), np.int64)
 
-    for chunks in (["a", "b"], ["b", "c"], [chr(200 + i) for i in range(40)], ["a", "b"], []):
-        flat, counts = store.ids(chunks, encode)
-        assert flat.tolist() == [ord(c) for c in chunks] and store.used <= 3000
-    assert asked == [2, 1, 40, 2]
+    for chunks in (["a", "b"], ["b", "c", "b"], [chr(200 + i) for i in range(80)], ["a", "b"], []):
+        flat, counts = store.ids(pa.array(chunks, pa.large_string()), encode)
+        assert flat.tolist() == [ord(c) for c in chunks] and counts.tolist() == [1] * len(chunks)
+    assert asked == [2, 1, 80, 2]
 
 
 def expected_tables(rows):

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import give_back, tokenizer_path
-from .token_counts import ChunkStore, byte_batches, taken
+from .token_counts import ChunkStore, byte_batches, joined, taken
 
 #: Bytes of text whose new words are merged together, and whose ids are put together at once.
 BATCH_BYTES, JOIN_BYTES = 8 << 20, 1 << 20
 #: Bytes of chunks and their ids that a worker keeps from batch to batch and from task to task.
-KEPT_BYTES = 64 << 20
-#: Chunks between ASCII white space, as pyarrow's ascii_split_whitespace makes them.
-ASCII_CHUNKS = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
+KEPT_BYTES = 96 << 20
+#: Letters whose normal form or case may depend on others; the rest are their own NFC form.
+_NOT_PLAIN = r"[^\x21-\x7e\xa1-\xac\xae-˿]"
 
 
 def byte_letters() -> list[str]:
@@ -67,7 +67,6 @@ class PairIndexBPE:
         self.split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern + r"|\n").findall  # a line's end parts chunks
-        self.plain = re.compile(r"[\x21-\x7e\xa1-\xac\xae-˿]*").fullmatch
         self.kept = ChunkStore(KEPT_BYTES)
 
     @cached_property
@@ -158,42 +157,41 @@ class PairIndexBPE:
         norm = self.lib.normalizer.normalize_str(chunk)
         return [bytes(from_letter[c] for c in piece) for piece, _ in self.lib.pre_tokenizer.pre_tokenize_str(norm)]
 
-    def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, one after the other, and how many each has."""
-        # these letters are their own NFC form, and their case does not depend on others
-        plain = [c for c in chunks if self.plain(c)]
-        odd = [c for c in chunks if not self.plain(c)] if len(plain) < len(chunks) else []
+        odd = pc.match_substring_regex(chunks, _NOT_PLAIN)
+        some = odd.to_numpy(zero_copy_only=False)
+        plain = chunks.filter(pc.invert(odd)) if some.any() else chunks
         words: dict[str, int] = {}
         of: list[int] = []  # the words of all chunks
         line: list[int] = []  # and where each chunk's end
-        if plain:
-            for w in self.pieces("\n".join(plain).lower()):
+        if len(plain):
+            for w in self.pieces(joined(plain, "\n").lower()):
                 if w == "\n":
                     line.append(len(of))
                 else:
                     of.append(words.setdefault(w, len(words)))
             line.append(len(of))
-        number = {w.encode("utf-8", "surrogatepass"): i for w, i in words.items()}
-        for c in odd:
+        number = {w.encode("utf-8"): i for w, i in words.items()}
+        for c in chunks.filter(odd).to_pylist() if some.any() else ():
             of += [number.setdefault(w, len(number)) for w in self.pre_tokens(c)]
             line.append(len(of))
         ids, n = self.merge_words(list(number))
         flat, size = taken(ids, np.cumsum(n) - n, n, np.array(of, np.int64))
         ends = np.concatenate([[0], np.cumsum(size)])[np.array(line, np.int64)]
         counts = np.diff(np.concatenate([[0], ends]))
-        if not odd:
+        if not some.any():
             return flat, counts
-        # back from plain ones first to the order asked for
-        place = {c: i for i, c in enumerate([*plain, *odd])}
-        order = np.array([place[c] for c in chunks])
-        return taken(flat, np.cumsum(counts) - counts, counts, order)
+        place = np.empty(len(chunks), np.int64)
+        place[~some], place[some] = np.arange(len(plain)), len(plain) + np.arange(some.sum())
+        return taken(flat, np.cumsum(counts) - counts, counts, place)
 
     def _special(self, text: str) -> np.ndarray:
         """A text that has strings of added tokens: these first, the rest between them as chunks."""
         ids, at = [], 0
         for m in [*self.split_added.finditer(text), None]:
-            chunks = ASCII_CHUNKS(text[at : m.start() if m else len(text)])
-            if chunks:
+            chunks = pc.ascii_split_whitespace(pa.array([text[at : m.start() if m else len(text)]], pa.large_string())).flatten()
+            if len(chunks):
                 ids.append(self.kept.ids(chunks, self._encode_new)[0])
             if m:
                 ids.append(np.array([self.added[m[0]]], np.uint32))
@@ -210,11 +208,10 @@ class PairIndexBPE:
         lists = pc.ascii_split_whitespace(easy)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
         index = coded.indices.to_numpy()
         offsets -= offsets[0]
         # white space at a text's ends makes empty chunks, which have no ids
-        known, begin, size = self.kept.find(chunks, self._encode_new)
+        known, begin, size = self.kept.find(coded.dictionary, self._encode_new)
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         for a, b in byte_batches(sizes, JOIN_BYTES):
             flat, each = taken(known, begin, size, index[offsets[a] : offsets[b]])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, scan_parallelism, tokenizer_path
-from .token_counts import byte_batches, encoder
+from .token_counts import BATCH_BYTES, byte_batches, encoder
 
 MAGIC = b"TLSSTBL1"
 BLOCK_BYTES = 64 << 10
@@ -244,7 +244,7 @@ def write_tables(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
             keys = b.column("k").to_pylist()
             if len(keys):
                 part = b.column("p")[0].as_py()
-            for lo, hi in byte_batches(sizes, 4 << 20):
+            for lo, hi in byte_batches(sizes, BATCH_BYTES):
                 for k, ids in zip(keys[lo:hi], enc.ids(texts.slice(lo, hi - lo))):
                     if writer is not None and writer.at >= SHARD_BYTES:
                         close()
@@ -255,7 +255,6 @@ def write_tables(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
                     writer.add(key_of(k), np.append(ids, np.uint32(end_id)))
         if writer is not None:
             close()
-        enc.cache.clear()
         give_back()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("partition", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())]))
 

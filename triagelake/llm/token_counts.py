@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import give_back, tokenizer_path
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 LONG_BYTES = 1 << 20
-CACHE_CHUNKS = 800_000
+#: Bytes of chunks and their ids that a worker keeps from batch to batch and from task to task.
+KEPT_BYTES = 64 << 20
 #: White space (any) and then a space: splitting at that space would cut a run of white space.
 _RUN = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+_SPACE = _RUN[:-1]
+#: What is empty, or has white space at an end.
+_ENDS = rf"^$|^{_SPACE}|{_SPACE}$"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -38,59 +42,57 @@ def taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, index: np.ndarr
     return flat[np.repeat(shift, n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
 
 
+def joined(strings: pa.Array, by: str) -> str:
+    return pc.binary_join(pa.LargeListArray.from_arrays([0, len(strings)], strings), pa.scalar(by, pa.large_string()))[0].as_py()
+
+
 class ChunkStore:
-    """Ids of chunks that were encoded before, in one buffer, bounded by bytes: what does not fit makes the
-    store start anew. It outlives a task, so a worker encodes a frequent chunk once."""
+    """Ids of chunks that were encoded before, bounded by bytes: what does not fit makes the store start
+    anew. It outlives a task, so a worker encodes a frequent chunk once. Chunks stay in one Arrow array."""
 
     def __init__(self, most_bytes: int):
         self.most_bytes = most_bytes
         self._empty()
 
     def _empty(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 12, np.int64)  # entry i + 1: where chunk i's ids end
-        self.held = self.used = 0
-
-    def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
-        if n <= len(a):
-            return a
-        out = np.zeros(max(n, len(a) * 3 // 2), a.dtype)
-        out[: len(a)] = a
-        return out
+        self.known = pa.array([], pa.large_string())
+        self.flat = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)  # entry i + 1: where chunk i's ids end
 
-    def find(self, chunks: list[str], encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @property
+    def used(self) -> int:
+        return self.known.nbytes + self.flat.nbytes + self.ends.nbytes
+
+    def find(self, chunks: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For distinct chunks: a buffer of ids, and where in it each chunk's begin and how many there are.
         encode(new chunks) gives their ids one after the other, and how many each has."""
-        at = self.at
-        new = [c for c in chunks if c not in at]
-        if new:
-            if self.used + sum(map(len, new)) + 120 * len(new) > self.most_bytes and self.at:
-                self._empty()
-                at, new = self.at, chunks
-            ids, counts = encode(new)
-            n, m = len(at), int(self.ends[len(at)])
-            self.flat = self._grown(self.flat, m + len(ids))
-            self.ends = self._grown(self.ends, n + len(new) + 1)
-            self.flat[m : m + len(ids)] = ids
-            self.ends[n + 1 : n + len(new) + 1] = m + np.cumsum(counts)
-            at.update(zip(new, range(n, n + len(new))))
-            self.used += sum(map(len, new)) + 120 * len(new) + 4 * len(ids)  # strings, their entries, ids
-        k = np.fromiter(map(at.__getitem__, chunks), np.int64, len(chunks))
-        begin, size, flat = self.ends[k], self.ends[k + 1] - self.ends[k], self.flat
-        if self.used > self.most_bytes:  # one batch alone is more
+        chunks = chunks.cast(pa.large_string())
+        if self.used + chunks.nbytes > self.most_bytes:
             self._empty()
-        return flat, begin, size
+        at = pc.index_in(chunks, value_set=self.known)
+        if at.null_count:
+            new = chunks.filter(pc.is_null(at))
+            ids, counts = encode(new)
+            place = np.full(len(chunks), -1)
+            missing = at.is_null().to_numpy(zero_copy_only=False)
+            place[~missing] = at.drop_null().to_numpy()
+            place[missing] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(counts)])
+            self.flat = np.concatenate([self.flat, ids])
+        else:
+            place = at.to_numpy()
+        return self.flat, self.ends[place], self.ends[place + 1] - self.ends[place]
 
-    def ids(self, chunks: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, chunks: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks (repeats are fine), one after the other, and how many each has."""
-        distinct = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
-        flat, begin, size = self.find(list(distinct), encode)
-        return taken(flat, begin, size, np.fromiter((distinct[c] for c in chunks), np.int64, len(chunks)))
+        coded = chunks.dictionary_encode()
+        flat, begin, size = self.find(coded.dictionary, encode)
+        return taken(flat, begin, size, coded.indices.to_numpy())
 
 
 class ChunkEncoder:
-    """Encodes with the tokenizers library, each distinct chunk once while it stays in the cache."""
+    """Encodes with the tokenizers library, each distinct chunk once while the store holds it."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -100,7 +102,8 @@ class ChunkEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        #: Chunks by what follows their space, and texts' first chunks, which have none.
+        self.kept, self.heads = ChunkStore(KEPT_BYTES), ChunkStore(KEPT_BYTES // 8)
         self.begins_with_space = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.begins_with_space[i] = token.startswith("Ġ")
@@ -109,29 +112,27 @@ class ChunkEncoder:
         """Ids as the library gives them for whole texts."""
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of chunks that are a space and a word without white space at its ends, encoded as one text:
-        only a chunk's first token begins with a space."""
-        ids = self.library(["".join(chunks)])[0]
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word with a space before it; no word has white space at its ends. They are encoded as
+        one text, in which only a word's first token begins with a space."""
+        ids = self.library([" " + joined(words, " ")])[0]
         first = np.flatnonzero(self.begins_with_space[ids])
-        if len(first) != len(chunks):  # a vocabulary of another kind
-            return self.library(chunks)
-        return np.split(ids, first[1:])
-
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk, as bytes of unsigned 32-bit integers."""
-        cache = self.cache
-        if new := [c for c in dict.fromkeys(chunks) if c not in cache]:
-            if len(cache) + len(new) > CACHE_CHUNKS:
-                cache.clear()
-                new = list(dict.fromkeys(chunks))
-            alike = [c for c in new if c[:1] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
-            rest = list(set(new).difference(alike))
-            for at in range(0, len(alike), 4096):
-                part = alike[at : at + 4096]
-                cache.update(zip(part, map(np.ndarray.tobytes, self._joined(part))))
-            cache.update(zip(rest, map(np.ndarray.tobytes, self.library(rest))))
-        return [cache[c] for c in chunks]
+        if len(first) != len(words):  # a vocabulary of another kind
+            return _end_to_end(self.library([" " + w for w in words.to_pylist()]))
+        return ids, np.diff(first, append=len(ids))
+
+    def _new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(words, _ENDS)
+        some = odd.to_numpy(zero_copy_only=False)
+        plain = words.filter(pc.invert(odd)) if some.any() else words
+        parts = [self._words(plain.slice(at, 4096)) for at in range(0, len(plain), 4096)]
+        parts.append(_end_to_end(self.library([" " + w for w in words.filter(odd).to_pylist()])))
+        flat, counts = (np.concatenate(x) for x in zip(*parts))
+        if not some.any():
+            return flat, counts
+        place = np.empty(len(words), np.int64)
+        place[~some], place[some] = np.arange(len(plain)), len(plain) + np.arange(some.sum())
+        return taken(flat, np.cumsum(counts) - counts, counts, place)
 
     def _simple(self, texts: pa.Array) -> np.ndarray:
         hard = pc.match_substring_regex(texts, _RUN)
@@ -140,26 +141,30 @@ class ChunkEncoder:
         return ~hard.to_numpy(zero_copy_only=False)
 
     def _split(self, texts: pa.Array):
-        """Distinct chunks' ids, and for each text the range of its chunks as indices into them."""
+        """A buffer of ids, where each distinct chunk's begin in it and how many they are, then the texts'
+        chunks as indices into these, and where each text's chunks begin."""
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        offsets = lists.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        words = coded.dictionary.to_pylist()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        starts = (offsets - offsets[0])[:-1]
         index = coded.indices.to_numpy().astype(np.int64)
-        starts = offsets[:-1].astype(np.int64)
-        heads = [words[i] for i in index[starts]]  # a text's first chunk has no space before it
-        first = list(dict.fromkeys(heads))
-        at = {w: len(words) + i for i, w in enumerate(first)}
-        index[starts] = np.fromiter((at[w] for w in heads), np.int64, len(heads))
-        return self.chunks([" " + w for w in words] + first), index, starts
+        words = coded.dictionary
+        # a text's first chunk has no space before it
+        head, own = np.unique(index[starts], return_inverse=True)
+        index[starts] = len(words) + own
+        flat, begin, size = self.kept.find(words, self._new_words)
+        first, at, n = self.heads.find(words.take(pa.array(head)), lambda new: _end_to_end(self.library(new.to_pylist())))
+        first, n = taken(first, at, n, np.arange(len(n)))
+        # the first chunks' ids follow a copy of the buffer's part that is in use
+        ids, size = taken(flat, begin, size, np.arange(len(size)))
+        size = np.concatenate([size, n])
+        return np.concatenate([ids, first]), np.cumsum(size) - size, size, index, starts
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
         simple = self._simple(texts)
         if simple.any():
-            ids, index, starts = self._split(texts.filter(pa.array(simple)))
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            _, _, size, index, starts = self._split(texts.filter(pa.array(simple)))
             out[simple] = np.add.reduceat(size[index], starts)
         if not simple.all():
             whole = texts.filter(pa.array(~simple)).to_pylist()
@@ -170,20 +175,20 @@ class ChunkEncoder:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         simple = self._simple(texts)
         if simple.any():
-            ids, index, starts = self._split(texts.filter(pa.array(simple)))
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
-            n = size[index]
-            ends = np.cumsum(n)
-            all_ids = flat[np.repeat(begin[index] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            cuts = ends[np.append(starts[1:], len(index)) - 1]
-            for i, part in zip(np.flatnonzero(simple), np.split(all_ids, cuts[:-1]), strict=True):
+            flat, begin, size, index, starts = self._split(texts.filter(pa.array(simple)))
+            ids, n = taken(flat, begin, size, index)
+            cuts = np.cumsum(np.add.reduceat(n, starts))[:-1]
+            for i, part in zip(np.flatnonzero(simple), np.split(ids, cuts), strict=True):
                 out[i] = part
         for i in np.flatnonzero(~simple):
             out[i] = self.library([texts[int(i)].as_py()])[0]
         return out
 
 
+def _end_to_end(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint32), *parts]), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkEncoder:
     """One encoder (with its cache) for each Python worker and file."""
@@ -242,7 +247,6 @@ def token_counts(docs: DataFrame, text_col: str = "text", out_col: str = "n_toke
         enc = encoder(path)
         for texts in batches:
             yield pa.array(count_tokens(texts.cast(pa.string()), enc))
-        enc.cache.clear()
         give_back()
 
     return docs.withColumn(out_col, lengths(F.col(text_col)))
