@@ -47,12 +47,12 @@ def random_docs(seed):
     return docs + [(500, None), (501, ""), (502, "q" * 700), (None, passages[0] + passages[1])]
 
 
-@pytest.mark.parametrize("hot", [100_000, 3])
-def test_random_texts(spark, monkeypatch, hot):
+@pytest.mark.parametrize("limit", [1000, 3, 30])
+def test_random_texts(spark, monkeypatch, limit):
     monkeypatch.setattr(rp, "SORT_BYTES", 3000)
-    docs = random_docs(hot)
+    docs = random_docs(limit)
     df = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, row int").repartition(3)
-    got = Counter(tuple(r) for r in rp.remove_repeats(df, least=40, gram=12, hot=hot).collect())
+    got = Counter(tuple(r) for r in rp.remove_repeats(df, least=40, gram=12, limit=limit).collect())
     assert got == brute(docs, 40)
 
 

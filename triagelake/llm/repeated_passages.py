@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import cut, give_back, scan_parallelism, text_or_empty
 
 MIN, GRAM = 400, 100
-#: Anchors of one gram that meet in one task; the windows of more are compared by their hashes.
-HOT = 100_000
+#: Contexts of one key that are sorted in one task; the windows of more are told apart by longer keys.
+LIMIT = 1000
 #: Bytes that are sorted at once (a larger group is sorted alone).
 SORT_BYTES = 2 << 20
 SEGMENT = 1 << 22
@@ -295,7 +295,7 @@ def _settle(group: list[tuple[int, int, int, bytes]], answer: dict[int, list[tup
 
 
 def _emit(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """From rows (gram, sha, first, place, ctx), sorted by gram, to (sha, lo, hi)."""
+    """From rows (gram, sha, first: places in that text, place, ctx), sorted by gram, to (sha, lo, hi)."""
     held: list[dict] = []
     size, gram, now = 0, None, {}
 
@@ -316,7 +316,7 @@ def _emit(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
                         yield flush(held)
                         held, size = [], 0
                 gram, now = g, {}
-            now.setdefault((text, place), []).append((row, first))
+            now.setdefault((text, place), []).extend((row, f) for f in first)
     if now:
         held.append(now)
     if held:
@@ -335,16 +335,53 @@ def _merge_starts(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]
     return [tuple(x) for x in out]
 
 
-def _hot_windows(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Each window of each distinct context of a hot gram: two 64-bit halves of its digest."""
-    for frame in frames:
-        for c1, c2, n, text in zip(frame["c1"], frame["c2"], frame["n"], frame["ctx"]):
-            starts = range(len(text) - least + 1)
-            h = np.array([np.frombuffer(hashlib.blake2b(text[s : s + least], digest_size=16).digest(), np.int64) for s in starts])
-            yield pd.DataFrame({"c1": c1, "c2": c2, "n": n, "s": np.arange(len(h)), "h1": h[:, 0], "h2": h[:, 1]})
+def _narrower(least: int, gram: int) -> list[int]:
+    """How many neighbouring window offsets share a key at each level: all (the gram itself is the key),
+    fewer, and at last one, where the key is the whole window."""
+    out = [least - gram + 1]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // 7))
+    return out
+
+
+def _crowded_windows(crowd: DataFrame, least: int, gram: int, limit: int) -> DataFrame:
+    """(cid, lo, hi): the repeated window starts of contexts (cid, place, ctx; all distinct) whose grams are
+    too common to be sorted in one task.
+
+    A window begins some offset before the anchor. Offsets are dealt into ever narrower ranges; all windows
+    of a range share the bytes from the anchor's farthest to its nearest, a longer string than the gram,
+    and only contexts that agree in it meet. Groups within the limit are sorted as any other; larger ones go
+    on to the next level, where at last a key is a window's own bytes and whoever shares it is a hit."""
+    parts = scan_parallelism(crowd.sparkSession)
+    at, last = F.col("place"), F.length("ctx") - least
+    # the offsets that a context's windows have, and the range that is still to be searched
+    live = crowd.select("cid", F.lit(0).alias("a"), F.lit(least - gram + 1).alias("b"))
+    found = None
+    for width in _narrower(least, gram)[1:]:
+        cuts = F.sequence(F.col("a"), F.col("b") - 1, F.lit(width))
+        each = live.join(crowd, "cid").select("cid", "place", "ctx", "b", F.explode(cuts).alias("a"))
+        each = each.withColumn("b", F.least("b", F.col("a") + width)).where((F.col("a") <= at) & (F.col("b") > at - last))
+        shared = F.substring("ctx", (at - F.col("a") + 1).cast("int"), (F.lit(least + 1) - F.col("b") + F.col("a")).cast("int"))
+        if width == 1:
+            keyed = each.select("cid", shared.alias("key"), (at - F.col("a")).alias("lo"))
+            twice = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+            hits = keyed.join(twice, "key", "left_semi").select("cid", F.col("lo").cast("long").alias("lo"), F.col("lo").cast("long").alias("hi"))
+            return hits if found is None else found.unionByName(hits)
+        keyed = cut(each.select("cid", "a", "b", F.xxhash64("a", "b", shared).alias("key")))
+        counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        met = cut(keyed.join(counts, "key"))
+        few = met.where(F.col("n") <= limit).select("key", "cid").join(crowd, "cid")
+        rows = few.select(F.col("key").alias("gram"), F.col("cid").alias("sha"), F.array(F.lit(0).cast("long")).alias("first"), "place", "ctx")
+        sorted_ = rows.repartition(parts, "gram").sortWithinPartitions("gram").mapInPandas(lambda frames: _emit(frames, least), "sha binary, lo long, hi long")
+        hits = sorted_.select(F.col("sha").alias("cid"), "lo", "hi")
+        found = hits if found is None else found.unionByName(hits)
+        live = met.where(F.col("n") > limit).select("cid", "a", "b")
+        if not live.limit(1).count():
+            break
+    return found
 
 
-def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
     """(sha, runs): for distinct texts, the starts of repeated windows. texts: sha, text; base: sha, place,
     first, gram. A text that occurs twice is itself a repetition, so it does no harm if copies of it meet."""
     each = base.where(F.size("place") > 0).groupBy("sha").agg(F.any_value("place").alias("place"), F.any_value("first").alias("first"), F.any_value("gram").alias("gram"))
@@ -352,7 +389,7 @@ def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram:
     one = each.select("sha", F.posexplode("gram").alias("k", "gram"))
     # a table of its own: the join with it can be split where a gram is common
     shared = cut(one.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-    wanted = one.join(shared, "gram").groupBy("sha").agg(F.collect_list(F.struct("k", (F.col("n") > hot).alias("hot"))).alias("ks"))
+    wanted = one.join(shared, "gram").groupBy("sha").agg(F.collect_list(F.struct("k", (F.col("n") > limit).alias("hot"))).alias("ks"))
     wanted = wanted.join(each, "sha")
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -363,12 +400,14 @@ def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram:
                 if sha == last:
                     continue
                 last, data = sha, text.encode("utf-8", "surrogatepass")
+                places: dict[tuple, list[int]] = {}  # a context that stands in a text again and again is one row
                 for e in ks:
                     k = e["k"]
                     end = int(first[k + 1]) - 1 if k + 1 < len(first) else len(data) - least
                     begin = int(first[k])
-                    ctx = data[begin : end + least]
-                    out.append((int(grams[k]), sha, begin, int(place[k]) - begin, ctx, e["hot"]))
+                    places.setdefault((int(grams[k]), int(place[k]) - begin, data[begin : end + least], e["hot"]), []).append(begin)
+                for (g, at, ctx, hot), firsts in places.items():
+                    out.append((g, sha, firsts, at, ctx, hot))
                     size += len(ctx)
                     if size > 8 << 20:
                         yield pd.DataFrame(out, columns=["gram", "sha", "first", "place", "ctx", "hot"])
@@ -376,22 +415,23 @@ def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram:
             yield pd.DataFrame(out, columns=["gram", "sha", "first", "place", "ctx", "hot"])
 
     joined = wanted.join(texts, "sha").select("sha", "text", "ks", "place", "first", "gram")
-    ctx = joined.mapInPandas(contexts, "gram long, sha binary, first long, place long, ctx binary, hot boolean")
+    ctx = joined.mapInPandas(contexts, "gram long, sha binary, first array<long>, place long, ctx binary, hot boolean")
     parts = scan_parallelism(texts.sparkSession)
-    has_hot = shared.where(F.col("n") > hot).limit(1).count() > 0
-    if has_hot:
+    crowded = shared.where(F.col("n") > limit).limit(1).count() > 0
+    if crowded:
         ctx = cut(ctx)
     cool = ctx.where("not hot").drop("hot").repartition(parts, "gram").sortWithinPartitions("gram")
     found = cool.mapInPandas(lambda frames: _emit(frames, least), "sha binary, lo long, hi long")
-    if has_hot:
-        # equal contexts of a hot gram are one; their number counts
-        many = ctx.where("hot").withColumn("c1", F.xxhash64("gram", "place", "ctx")).withColumn("c2", F.xxhash64("ctx", "place", F.lit(1)))
-        kinds = many.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.any_value("ctx").alias("ctx"))
-        windows = cut(kinds.repartition(parts, "c1").mapInPandas(lambda f: _hot_windows(f, least), "c1 long, c2 long, n long, s long, h1 long, h2 long"))
-        twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
-        starts = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("c1", "c2").agg(F.sort_array(F.collect_list("s")).alias("ss"))
-        hit = many.join(starts, ["c1", "c2"]).select("sha", F.explode(F.transform("ss", lambda s: F.col("first") + s)).alias("lo"))
-        found = found.unionByName(hit.select("sha", "lo", F.col("lo").alias("hi")))
+    if crowded:
+        many = ctx.where("hot").select("sha", "first", "place", "ctx", F.unhex(F.sha2(F.concat(F.col("place").cast("string").cast("binary"), F.lit(b":"), F.col("ctx")), 256)).alias("cid"))
+        kinds = cut(many.groupBy("cid").agg(F.sum(F.size("first")).alias("n"), F.any_value("place").alias("place"), F.any_value("ctx").alias("ctx")))
+        # all windows of a context that occurs twice are repeated
+        whole = kinds.where("n > 1").select("cid", F.lit(0).cast("long").alias("lo"), (F.length("ctx") - least).cast("long").alias("hi"))
+        hits = whole.unionByName(_crowded_windows(kinds.drop("n"), least, gram, limit))
+        # a table of its own, so that the join is split where a context stands in many texts
+        runs = cut(hits.groupBy("cid").agg(F.array_distinct(F.collect_list(F.struct("lo", "hi"))).alias("rs")))
+        back = many.select("cid", "sha", "first").join(runs, "cid").select("sha", F.explode(F.flatten(F.transform("first", lambda f: F.transform("rs", lambda r: F.struct((f + r["lo"]).alias("lo"), (f + r["hi"]).alias("hi")))))).alias("r"))
+        found = found.unionByName(back.select("sha", "r.lo", "r.hi"))
     return found.groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
@@ -405,7 +445,7 @@ def _covered(runs, least: int) -> list[list[int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
     Every byte inside a string of `least` bytes that starts at another place, too, of the same or any
@@ -429,7 +469,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     base = cut(plain.mapInArrow(scan, "doc_id long, n_bytes long, sha binary, place array<int>, first array<int>, gram array<long>"))
     copies = base.groupBy("sha").agg(F.count("*").alias("copies"))
-    found = repeated_windows(texts, base, least, gram, hot).join(copies.where("copies = 1"), "sha", "left_semi")
+    found = repeated_windows(texts, base, least, gram, limit).join(copies.where("copies = 1"), "sha", "left_semi")
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
     def kept(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
