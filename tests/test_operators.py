@@ -5,10 +5,11 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from triagelake.engine import Engine
 from triagelake.operators import attachments as att
-from triagelake.operators import board, decider, policy, records, uploads
+from triagelake.operators import board, decider, messages, policy, ranges, records, runs, uploads
 from triagelake.schemas import ANSWERS, ATTACHMENT, Shop
 from triagelake.sources.inbox import INBOX
 
@@ -200,11 +201,8 @@ def test_records(spark):
 
 
 def test_board(spark):
-    def median(values):
-        df = spark.createDataFrame([(v,) for v in values], "v double")
-        return board.exact_upper_median(df, "v").first().v, df.agg(board.upper_median(F.col("v")).alias("m")).first().m
-
-    assert median([1.0, 2.0, 3.0, 4.0]) == (3.0, 3.0) and median([5.0]) == (5.0, 5.0) and median([]) == (None, None) and median([2.0, 2.0, 1.0]) == (2.0, 2.0)
+    median = lambda values: board.exact_upper_median(spark.createDataFrame([(v,) for v in values], "v double"), "v").first().v
+    assert [median(v) for v in ([1.0, 2.0, 3.0, 4.0], [5.0], [], [2.0, 2.0, 1.0])] == [3.0, 5.0, None, 2.0]
     items = spark.createDataFrame([("review", None, 0.0, None, 0.1, None), ("orders", True, 10.0, 0.5, 0.1, False), (None, None, 99.0, 9.0, 9.0, None)], "lane string, matches_expected boolean, latency_ms double, cost_usd double, list_price_usd double, cost_is_estimate boolean")
     s = board.stats_with_median(items).first()
     assert (s.total, s.routed, s.auto, s.review, s.graded, s.matches, s.avg_latency_ms, s.median_latency_ms, s.cost_usd, s.cost_reported) == (3, 2, 1, 1, 1, 1, 10.0, 10.0, 0.5, True)
@@ -222,6 +220,102 @@ def test_uploads(spark):
     wanted = spark.createDataFrame([("u1",), ("nope",)], "upload_id string")
     with pytest.raises(Exception, match="no such upload"):
         uploads.claim(wanted, spark.createDataFrame([("u1", "x")], "upload_id string, name string")).collect()
-    posts = spark.createDataFrame([(1, None, " ", "s", "", "a.pdf; b.pdf,,"), (2, "n", "n@x", "", " ", None), (3, "n", "n@x", "", "b", None)], "ord long, from_name string, from_email string, subject string, body string, names string")
-    new = sorted(uploads.new_messages(posts, spark.createDataFrame([("L01",), ("L03",), ("E9",)], "id string")).collect(), key=lambda r: r.ord)
-    assert [(r.id, r.from_email, r.attachment_names) for r in new] == [("L02", "unknown@example.com", ["a.pdf", "b.pdf"]), ("L04", "n@x", [])]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_running_totals_keep_every_row(spark, adaptive):
+    """A million rows in many buckets, with further columns (some of them named as internal ones)."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("ord"), (F.col("id") % 10).alias("size"), F.lit("x").alias("bucket"), F.col("id").cast("string").alias("inside"), (F.col("id") % 97).alias("b"))
+        out = ranges.running_total(df, "ord", "size", "total", newest_first=False)
+        w = Window.orderBy("ord")
+        want = df.withColumn("total", F.sum("size").over(w))
+        assert out.columns == [*df.columns, "total"] and out.count() == n
+        digest = lambda t: t.agg(F.sum(F.xxhash64(*[F.col(c) for c in sorted(t.columns)]).cast("decimal(38,0)"))).first()[0]
+        assert digest(out) == digest(want)
+        numbered = ranges.row_numbers(df, "ord", "k")
+        assert numbered.where(F.col("k") != F.col("ord") + 1).count() == 0 and numbered.count() == n
+        store = df.select("ord", "size", F.lit(True).alias("attached"), F.lit(0.0).alias("added_at"), "inside")
+        assert uploads.retain(store, 0.0, 10**12).count() == n
+        assert uploads.retain(store, 0.0, 4500).count() == want.select(F.col("ord")).count() - n + df.withColumn("t", F.sum("size").over(Window.orderBy(F.col("ord").desc()))).where("t <= 4500").count()
+        assert board.exact_upper_median(df, "ord").first().ord == n // 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_running_totals_with_ties_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(1, 5), (1, 7), (None, 2), (3, None), (2, 1)], "o long, v long")
+    rows = sorted(((r.o is None, r.o or 0, r.v or 0, r.t) for r in ranges.running_total(df, "o", "v", "t").collect()))
+    assert rows == [(False, 1, 5, 13), (False, 1, 7, 13), (False, 2, 1, 1), (False, 3, 0, 0), (True, 0, 2, 15)]
+    assert ranges.running_total(df.limit(0), "o", "v", "t").collect() == [] and ranges.row_numbers(df.limit(0), "o", "t").collect() == []
+
+
+def test_new_messages(spark):
+    sample = [{"name": "d.pdf", "kind": "drawing"}, {"name": "m.step", "kind": "model"}, "plain.pdf"]
+    examples = normalised(spark, sample).select(F.lit(0).alias("ord"), F.col("a").alias("attachments"))
+    store = spark.createDataFrame([("u1", "s.pdf", "pdf", 9, 1, None, None, "text", None)], "upload_id string, name string, media string, size long, pages int, width int, height int, text string, text_error string")
+    posts = spark.createDataFrame(
+        [
+            (1, None, " ", "s", "", "a.pdf; b.pdf,,", " 0 ", ["m.step"], ["u1"]),
+            (2, "n", "n@x", "", " ", None, None, None, None),
+            (3, "n", "n@x", "", "b", None, "7", None, None),
+            (4, "n", "n@x", "x", "b", ",".join(f"f{i}" for i in range(30)), "zero", None, []),
+            (5, "n", "n@x", "x", "b", None, None, None, ["nope"]),
+            (6, "n", "n@x", "x", "b", None, None, None, ["u1"] * 6),
+            (7, "n", "n@x", "x", "b", None, "0", None, None),
+        ],
+        "ord long, from_name string, from_email string, subject string, body string, names string, example string, example_files array<string>, uploads array<string>",
+    )
+    errors = {r.ord: r.error for r in messages.checked(posts, examples, store).collect()}
+    assert errors == {1: None, 2: messages.NOTHING, 3: None, 4: None, 5: messages.GONE, 6: messages.TOO_MANY, 7: None}
+    taken = spark.createDataFrame([("L01",), ("L03",), ("E9",), (None,)], "id string")
+    new = sorted(messages.new_messages(posts, taken, examples, store).collect(), key=lambda r: r.ord)
+    assert [(r.id, r.from_email, [a.name for a in r.attachments][:4], len(r.attachments)) for r in new] == [
+        ("L02", "unknown@example.com", ["m.step", "s.pdf", "a.pdf", "b.pdf"], 4),
+        ("L04", "n@x", [], 0),
+        ("L05", "n@x", ["f0", "f1", "f2", "f3"], 20),
+        ("L06", "n@x", ["d.pdf", "m.step"], 2),
+    ]
+    upload = new[0].attachments[1]
+    assert (upload.kind, upload.upload_id, upload.bytes, upload.text) == ("upload", "u1", 9, "text")
+    sent = messages.attachment_at(messages.new_messages(posts, taken, examples, store), spark.createDataFrame([("L02", 1), ("L02", 9), ("L02", -1), ("nope", 0), ("L04", 0)], "id string, idx int")).collect()
+    got = {(r.id, r.idx): (r.file, r.text, r.truncated, r.full_chars) for r in sent}
+    assert got == {("L02", 1): ("s.pdf", "text", False, 4), ("L02", 9): (None,) * 4, ("L02", -1): (None,) * 4, ("nope", 0): (None,) * 4, ("L04", 0): (None,) * 4}
+    shown = messages.public(messages.new_messages(posts, taken, examples, store), store.limit(0)).where("id = 'L02'").first()
+    assert [a.available for a in shown.attachments] == [True, False, False, False] and "body" in shown
+
+
+def test_run_control(spark):
+    ids = spark.createDataFrame([(i,) for i in "abcdef"], "id string")
+    asked = lambda *names: spark.createDataFrame([(n, k, "k" + n) for k, n in enumerate(names)], "id string, pos long, key string")
+    saved = spark.createDataFrame([("kb",)], "key string")
+    state = lambda items: {r.id: (r.status, r.source, r.error) for r in items.collect()}
+    items = runs.request(runs.blank(ids), asked("a", "b", "c", "a", "zz"), saved, 1, 1)
+    assert state(items) == {"a": ("queued", None, None), "b": ("done", "cache", None), "c": ("queued", None, None), "d": ("idle", None, None), "e": ("idle", None, None), "f": ("idle", None, None)}
+    items = runs.request(items, asked("d", "e"), saved, 2, 1, front=True)
+    assert [r.id for r in runs.next_in_line(items, 9).collect()] == ["d", "e", "a", "c"]
+    count = runs.counters(items, spark.createDataFrame([(1,), (2,)], "x int")).first()
+    assert (count.cache_hits, count.queue_length, count.calls) == (1, 4, 2)
+    items = runs.start(items, spark.createDataFrame([("d",), ("e",)], "id string"), 1)
+    assert runs.request(items, asked("d"), saved, 3, 1).where("id = 'd'").first().status == "running"
+    stopped = runs.stop(items)
+    assert state(stopped)["a"][0] == "idle" and state(stopped)["d"][0] == "running"
+    again = runs.request(stopped, asked("d"), saved, 3, 2)
+    assert state(again)["d"][0] == "queued"
+    answered = spark.createDataFrame([("d", "kd", None, 1.0), ("e", "ke", "server", None)], "id string, key string, error string, latency_ms double")
+    shown, kept = runs.finish(items, answered, 1)
+    assert state(shown)["d"] == ("done", "live", None) and state(shown)["e"] == ("error", None, "server") and state(shown)["a"][0] == "queued"
+    assert [tuple(r) for r in kept.collect()] == [("kd", 1.0)]
+    late, kept = runs.finish(stopped, answered, 2)
+    assert state(late)["d"] == ("idle", None, None) and kept.count() == 1  # saved, but not shown
+    fatal, _ = runs.finish(items, spark.createDataFrame([("d", "kd", "auth")], "id string, key string, error string"), 1)
+    assert state(fatal)["a"][0] == "idle" and state(fatal)["d"] == ("error", None, "auth")
+    assert state(runs.reset(shown)) == {i: ("idle", None, None) for i in "abcdef"}
+    none = runs.request(runs.blank(ids), asked("f", "b"), saved, 1, 1, have_model=False)
+    assert state(none)["f"] == ("error", None, "config") and state(none)["b"][0] == "done"
+    decided = spark.createDataFrame([("a", "k", "t", 1, "d"), ("b", "k", "t", 1, "d"), ("c", "k", "t", 2, "d")], "id string, key string, saved_at string, thresholds_version int, day string")
+    held, todo = runs.remembered(decided, spark.createDataFrame([("a", "k", "t"), ("b", "k2", "t"), ("c", "k", "t")], "id string, key string, saved_at string"), 1, "d")
+    assert [r.id for r in held.collect()] == ["a"] and sorted(r.id for r in todo.collect()) == ["b", "c"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .functions import lazy as F
 
 from .operators import attachments, board, decider, policy, records
 from .schemas import ANSWERS, Shop

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from . import lazy as F
 from pyspark.sql import types as T
 
 #: Magic numbers, as hexadecimal digits.

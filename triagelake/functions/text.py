@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from . import lazy as F
 
 #: What `clean` maps one to one (each of CR, LF, TAB to a space, dashes and curly quotes).
 CLEAN_FROM, CLEAN_TO = "\r\n\t—–‘’“”", "   --''\"\""
@@ -103,17 +104,24 @@ def safe_filename(name: Column, media: Column) -> Column:
     base = F.substring_index(F.translate(blank(name), "\\", "/"), "/", -1)
     base = F.regexp_replace(F.regexp_replace(base, r'[\x00-\x1f\x7f"<>|:*?]', ""), r"(?U)\s+", " ")
     base = F.regexp_replace(clean(base), r"^[ .]+|[ .]+$", "")
-    base = F.when(base == "", F.lit("upload")).otherwise(base)
-    out = F.lit(None).cast("string")
-    for kind, endings in UPLOAD_ENDINGS.items():
-        fits = F.lit(False)
-        for e in endings:
-            fits = fits | F.endswith(F.lower(base), F.lit(e))
-        stem = F.when(F.instr(F.substring(base, -6, 6), ".") > 0, F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
-        out = F.when(media == kind, F.when(fits, base).otherwise(F.concat(stem, F.lit(endings[0])))).otherwise(out)
-    end = F.substring_index(out, ".", -1)
-    stem = F.substring(out, F.lit(1), F.length(out) - F.length(end) - 1)
-    return F.when(F.length(out) > 100, F.concat(F.substring(stem, F.lit(1), F.lit(95) - F.length(end)), F.lit("."), end)).otherwise(out)
+    base = F.when(F.nullif(base, F.lit("")).isNull(), F.lit("upload")).otherwise(base)
+
+    def ended(b: Column) -> Column:
+        stem = F.when(F.instr(F.substring(b, -6, 6), ".") > 0, F.regexp_replace(b, r"\.[^.]*$", "")).otherwise(b)
+        out = F.lit(None).cast("string")
+        for kind, endings in UPLOAD_ENDINGS.items():
+            fits = F.lit(False)
+            for e in endings:
+                fits = fits | F.endswith(F.lower(b), F.lit(e))
+            out = F.when(media == kind, F.when(fits, b).otherwise(F.concat(stem, F.lit(endings[0])))).otherwise(out)
+        return out
+
+    def cut(n: Column) -> Column:
+        end = F.substring_index(n, ".", -1)
+        stem = F.substring(n, F.lit(1), F.length(n) - F.length(end) - 1)
+        return F.when(F.length(n) > 100, F.concat(F.substring(stem, F.lit(1), F.lit(95) - F.length(end)), F.lit("."), end)).otherwise(n)
+
+    return F.let(F.let(base, ended), cut)
 
 
 def url_host(url: Column) -> Column:
@@ -121,8 +129,8 @@ def url_host(url: Column) -> Column:
 
 
 def key_hint(key: Column) -> Column:
-    """The first six characters of a secret and its length."""
-    return F.concat(F.substring(key, 1, 6), F.lit("...("), F.length(key), F.lit(" chars)"))
+    """The first six characters of a secret and its length; nothing of a short one."""
+    return F.when(F.length(key) <= 8, F.lit("(short key)")).otherwise(F.concat(F.substring(key, 1, 6), F.lit("...("), F.length(key).cast("string"), F.lit(" chars)")))
 
 
 def bar(p: Column, width: int = 20) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from ..functions import lazy as F
 
 from ..functions import geometry, text as tx
 from ..functions.text import blank, clean

@@ -3,29 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
+from ..functions import lazy as F
+from pyspark.sql.window import Window
 
-def upper_median(values: Column) -> Column:
-    """sorted[n // 2] of non-null values: exact, as an ordered-set aggregate on the map side's counts."""
-    v = F.array_sort(F.collect_list(values))
-    return F.try_element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
+from .ranges import running_total
 
 
 def exact_upper_median(df: DataFrame, value: str) -> DataFrame:
-    """The same without collecting: counts by value, a running sum over the distinct values in range
-    partitions. One row; null for no values."""
+    """sorted[n // 2] of non-null values, without collecting them: counts by value, and a running sum over
+    the distinct values. One row; null for no values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    n = counts.agg(F.sum("n").alias("all"))
-    ordered = counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id())
-    before = ordered.groupBy("part").agg(F.sum("n").alias("pn"))
-    a, b = before.alias("a"), before.alias("b")
-    base = a.join(F.broadcast(b), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.pn"), F.lit(0)).alias("base"))
-    from pyspark.sql.window import Window
-
-    run = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ordered.withColumn("upto", run).join(F.broadcast(base), "part").crossJoin(F.broadcast(n))
-    return placed.where(F.col("base") + F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("v").alias(value))
+    upto = running_total(counts, "v", "n", "upto", newest_first=False)
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    return upto.crossJoin(F.broadcast(n)).where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("v").alias(value))
 
 
 def stats(items: DataFrame) -> DataFrame:
@@ -72,18 +63,32 @@ def changes(previous: DataFrame, current: DataFrame) -> DataFrame:
 def versioned(versions: DataFrame) -> DataFrame:
     """(id, version, sig) with one row an item and version to (id, changed_at): the version of an item's
     last change of signature."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("id").orderBy("version")
     marked = versions.withColumn("before", F.lag("sig").over(w))
     return marked.where(F.col("before").isNull() | (F.col("before") != F.col("sig"))).groupBy("id").agg(F.max("version").alias("changed_at"))
 
 
+def is_full(version: int, since: int | None, same_boot: bool = True) -> bool:
+    """Whether a client gets everything: its version is missing, negative, ahead, or of another run."""
+    return since is None or since < 0 or since > version or not same_boot
+
+
 def delta(entries: DataFrame, version: int, since: int | None, same_boot: bool = True) -> DataFrame:
-    """Entries (with changed_at) to send: those changed after `since`; all where since is missing,
-    negative, ahead of the version, or of another run."""
-    full = since is None or since < 0 or since > version or not same_boot
-    return entries if full else entries.where(F.col("changed_at") > since)
+    """Entries (with changed_at) to send: those changed after `since`, or all (is_full)."""
+    return entries if is_full(version, since, same_boot) else entries.where(F.col("changed_at") > since)
+
+
+def head(items: DataFrame, version: int, order_version: int, since: int | None, same_boot: bool = True) -> DataFrame:
+    """The board without its entries: version, whether all entries go along (full), whether the order does
+    (it changed, or all do), and the statistics. One row."""
+    full = is_full(version, since, same_boot)
+    s = stats_with_median(items)
+    return s.select(F.lit(version).alias("version"), F.lit(full).alias("full"), F.lit(full or order_version > since).alias("with_order"), F.struct(*[F.col(c) for c in s.columns]).alias("stats"))
+
+
+def entry(status: Column, record: Column) -> Column:
+    """What is shown of a record: nothing before its item is done."""
+    return F.when((status == "done") & record.isNotNull(), record)
 
 
 def cache_size(seed: DataFrame, live: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions import lazy as F
 
 from ..functions import answers as an, dates, text as tx
 from ..functions.text import pct

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.text import label_of
+from ..functions import lazy as F
+
+from ..functions.text import label_of, strip
 
 #: Fixed value: US dollars an input token, where a response has no cost of its own.
 PRICE_PER_TOKEN = 4.2e-8
@@ -99,9 +100,14 @@ def error_kind(status: Column, message: Column) -> Column:
 
 
 def error_message(body: Column, fallback: Column) -> Column:
-    """The message of an error body in any of its shapes, 300 characters at most."""
-    paths = ("$.error.message", "$.error", "$.message", "$.detail[0].msg", "$.detail")
-    return F.substring(F.coalesce(*[F.nullif(F.get_json_object(body, p), F.lit("")) for p in paths], fallback), 1, 300)
+    """The message of an error body in any of its shapes: error.message, error, message, the first detail
+    with its place, detail, or (300 characters of) a body that is no JSON; else the fallback."""
+    at = lambda path: F.nullif(F.get_json_object(body, path), F.lit(""))
+    text = lambda path: F.when(~F.startswith(F.get_json_object(body, path), F.lit("{")) & ~F.startswith(F.get_json_object(body, path), F.lit("[")), at(path))
+    loc = F.array_join(F.from_json(F.get_json_object(body, "$.detail[0].loc"), "array<string>"), ".")
+    detail = F.when(F.startswith(at("$.detail[0]"), F.lit("{")), F.btrim(F.concat(F.coalesce(loc, F.lit("")), F.lit(": "), F.coalesce(at("$.detail[0].msg"), F.lit("invalid"))), F.lit(": ")))
+    plain = F.when(F.get_json_object(body, "$").isNull(), F.nullif(F.substring(strip(body), 1, 300), F.lit("")))
+    return F.coalesce(at("$.error.message"), text("$.error"), at("$.message"), detail, text("$.detail"), plain, fallback)
 
 
 def hint(kind: Column) -> Column:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions import lazy as F
 
 from ..functions import binary, text as tx
+from .ranges import fresh, running_total
 
 MOST_BYTES, STORE_BYTES, UNATTACHED_SECONDS = 10 << 20, 100 << 20, 3600
 MOST_ATTACHMENTS, MOST_UPLOADS = 20, 5
-#: Rows of a store whose sizes one task adds up.
-SUM_ROWS = 100_000
+#: Media types of uploads.
+ACCEPTED_TYPES = ("application/pdf", "image/png", "image/jpeg")
 
 
 def accept(files: DataFrame) -> DataFrame:
@@ -22,24 +23,22 @@ def accept(files: DataFrame) -> DataFrame:
     return f.withColumn("name", tx.safe_filename(F.col("name"), F.col("media"))).withColumns({"width": F.col("wh.width"), "height": F.col("wh.height")}).drop("wh")
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str, newest_first: bool = True) -> DataFrame:
-    """df with the running sum of value in descending (or ascending) order: range partitions are summed
-    apart, and what lies before each is added, so no task takes all rows. Equal orders sum together."""
-    sort = F.col(order).desc() if newest_first else F.col(order).asc()
-    parts = df.repartitionByRange(sort).withColumn("__part", F.spark_partition_id())
-    sums = parts.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    # one row a partition
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__part").orderBy(sort)
-    return parts.withColumn("__in", F.sum(value).over(inside)).join(base, "__part").withColumn(out, F.col("__base") + F.col("__in")).drop("__part", "__in", "__base")
-
-
 def retain(store: DataFrame, now: float, most_bytes: int = STORE_BYTES) -> DataFrame:
     """The files (ord, size, attached, added_at) that stay: unattached ones expire after an hour, then the
     oldest go until the rest fit. Attached files can go, too; their text is in the message already."""
     live = store.where(F.col("attached") | (F.lit(now) - F.col("added_at") <= UNATTACHED_SECONDS))
-    return running_total(live, "ord", "size", "total_newer").where(F.col("total_newer") <= most_bytes).drop("total_newer")
+    (newer,) = fresh(live, "total_newer")
+    return running_total(live, "ord", "size", newer).where(F.col(newer) <= most_bytes).drop(newer)
+
+
+def store_bytes(store: DataFrame) -> DataFrame:
+    """One row: how many bytes the store holds."""
+    return store.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def accepted_types() -> list[str]:
+    """The media types of accepted uploads, sorted."""
+    return sorted(ACCEPTED_TYPES)
 
 
 def claim(wanted: DataFrame, store: DataFrame) -> DataFrame:
@@ -47,23 +46,3 @@ def claim(wanted: DataFrame, store: DataFrame) -> DataFrame:
     joined = wanted.join(store.withColumn("__there", F.lit(True)), "upload_id", "left")
     checked = F.when(F.col("__there").isNull(), F.raise_error(F.concat(F.lit("no such upload: "), F.col("upload_id")))).otherwise(F.lit(True))
     return joined.where(checked).drop("__there")
-
-
-def new_messages(posts: DataFrame, taken: DataFrame) -> DataFrame:
-    """posts (ord, from_name, from_email, subject, body, names) to messages: subject or body must be there,
-    names are split on ; and , and limited, a missing sender is unknown@example.com; identifiers L01, L02,
-    ... go on where they are free. Posts of one batch are numbered together; a batch is small."""
-    p = posts.where((tx.strip(tx.blank(F.col("subject"))) != "") | (tx.strip(tx.blank(F.col("body"))) != ""))
-    names = F.filter(F.transform(F.split(F.translate(tx.blank(F.col("names")), ";", ","), ","), lambda n: F.substring(tx.clean(tx.strip(n)), 1, 120)), lambda n: n != "")
-    p = p.select(
-        "ord",
-        tx.strip(tx.blank(F.col("from_name"))).alias("from_name"),
-        F.coalesce(F.nullif(tx.strip(tx.blank(F.col("from_email"))), F.lit("")), F.lit("unknown@example.com")).alias("from_email"),
-        tx.strip(tx.blank(F.col("subject"))).alias("subject"),
-        tx.strip(tx.blank(F.col("body"))).alias("body"),
-        F.slice(names, 1, MOST_ATTACHMENTS).alias("attachment_names"),
-    )
-    spark, n, m = posts.sparkSession, p.count(), taken.where("id rlike '^L[0-9]+$'").count()
-    free = spark.range(1, n + m + 1).select(F.format_string("L%02d", "id").alias("new_id"), F.col("id").alias("n")).join(taken.select(F.col("id").alias("new_id")), "new_id", "left_anti")
-    numbered = p.withColumn("k", F.row_number().over(Window.orderBy("ord")))
-    return numbered.join(free.withColumn("k", F.row_number().over(Window.orderBy("n"))), "k").select(F.col("new_id").alias("id"), *p.columns, F.lit(True).alias("live"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions import lazy as F
 
 from ..functions import answers as an
 from ..operators import policy
@@ -20,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a small table that comes in fewer splits than there are cores is dealt anew, a large
+    one stays as it is. For work that costs much more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def attachment(**fields: Column) -> Column:
     """A normalised attachment with these fields, the others null."""
     return F.struct(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in ATTACHMENT_FIELDS.items()])
@@ -75,7 +83,7 @@ def with_answers(df: DataFrame, k: Column) -> DataFrame:
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One message an order (without a body: see inbox_with_body)."""
     k = F.col("o_orderkey")
-    o = with_answers(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), k)
+    o = with_answers(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")), k)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
     files = F.array_compact(
         F.array(

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ..functions import lazy as F
 
 from ..functions import answers as an
 from ..functions import binary, dates, geometry
 from ..functions import text as tx
 from ..operators import attachments as att
-from ..operators import board, decider, policy, records, render, uploads
+from ..operators import board, decider, layout, policy, records, render, uploads
 from ..schemas import DOC_TYPE_LABELS, EMAIL_TYPE_LABELS
-from . import bridge
-from .bridge import SHOP, attachment, decided, inbox, part_specs, po_specs, table
-
-LICENSE = r"(?i)\b(license|licensed|copyright|warranty)\b"
-
+from . import bridge, more_queries
+from .bridge import SHOP, attachment, decided, inbox, part_specs, po_specs, spread, table
 
 def lane_decision(spark, sf):
     d = decided(spark, sf)
@@ -128,11 +126,11 @@ def rfq_form_text(spark, sf):
 
 
 def document_text(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null")
+    d = table(spark, sf, "documents")
     kinds = F.array(*map(F.lit, [*DOC_TYPE_LABELS, "unknown"]))
-    section = F.struct(F.col("lang").alias("heading"), F.array(F.col("source"), F.lit("line — two")).alias("lines"))
+    section = F.struct(F.col("lang").alias("heading"), F.array(F.col("source"), F.lit("line — two"), F.col("text")).alias("lines"))
     a = attachment(kind=F.lit("document"), doc_type=F.element_at(kinds, (F.col("doc_id") % 10 + 1).cast("int")), title=F.concat(F.lit("Doc "), F.col("doc_id")), sections=F.array(section))
-    return d.select("doc_id", att.document_text(a).alias("text"))
+    return d.select("doc_id", F.md5(F.encode(att.document_text(a), "UTF-8")).alias("digest"))
 
 
 def cad_detection(spark, sf):
@@ -147,7 +145,11 @@ def cad_detection(spark, sf):
 
 
 def marked_documents(spark, sf):
-    return table(spark, sf, "documents").where(F.regexp_like("text", F.lit(LICENSE))).select("doc_id")
+    """Every document as an uploaded file of two kinds: which of its attachments carry an export marking."""
+    d = table(spark, sf, "documents")
+    upload = lambda name, text: attachment(name=F.lit(name), kind=F.lit("upload"), media=F.lit("pdf"), text=text)
+    marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Note: ITAR\n"), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("SITAR, U.S. PERSONS ONLY. "), "text")).otherwise(F.concat(F.lit("SITAR and cuisine. "), "text"))
+    return d.select("doc_id", F.array_join(att.marked_names(F.array(upload("plain.pdf", F.col("text")), upload("marked.pdf", marked))), ",").alias("names"))
 
 
 def clean_squeeze(spark, sf):
@@ -171,12 +173,11 @@ def tidy_lines(spark, sf):
 
 
 def message_state(spark, sf):
-    """Messages with bodies: the parts of the state and how long it is."""
+    """Messages with bodies (an order whose number no document has comes without one): the parts of the state."""
     m, d = inbox(spark, sf), table(spark, sf, "documents")
-    n = d.count()
-    b = m.withColumn("body_id", F.col("id") % n).join(d.select(F.col("doc_id").alias("body_id"), F.col("text").alias("body")), "body_id")
+    b = m.join(d.select(F.col("doc_id").alias("body_id"), F.col("text").alias("body")), F.col("id") == F.col("body_id"), "left")
     s = b.select("id", att.state(F.col("from_name"), F.col("from_email"), F.col("subject"), F.col("body"), F.col("attachments")).alias("s"))
-    return s.select("id", F.col("s.from").alias("sender"), "s.subject", F.length("s.body").alias("body_chars"), (F.col("s.attachments") == "none").alias("bare"))
+    return s.select("id", F.col("s.from").alias("sender"), "s.subject", F.md5(F.encode("s.body", "UTF-8")).alias("body"), F.md5(F.encode("s.attachments", "UTF-8")).alias("attachments"))
 
 
 def _layer(e: DataFrame, odd: int) -> DataFrame:
@@ -208,10 +209,10 @@ def cache_size(spark, sf):
 
 
 def change_feed(spark, sf):
-    """Items that a new bar makes worth sending again; those of odd priority are not there before."""
+    """Items that a new bar makes worth sending again."""
     sig = board.signature(F.col("lane"), F.col("priority"))
-    before = decided(spark, sf).where("id % 7 <> 0").select("id", sig.alias("sig"))
-    after = decided(spark, sf, {"email_type_confidence": 0.8}).where("id % 11 <> 0").select("id", sig.alias("sig"))
+    before = decided(spark, sf).select("id", sig.alias("sig"))
+    after = decided(spark, sf, {"email_type_confidence": 0.8}).select("id", sig.alias("sig"))
     return board.changes(before, after)
 
 
@@ -237,7 +238,8 @@ def board_stats(spark, sf):
 
 def upload_retention(spark, sf):
     store = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("n_chars").alias("size"), (F.col("doc_id") % 3 == 0).alias("attached"), (F.col("doc_id") % 100 * 60.0).alias("added_at"))
-    return uploads.retain(store, 6000.0, 1_000_000).select(F.col("ord").alias("doc_id"), "size")
+    store = store.join(table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "lang", "source"), "ord")
+    return uploads.retain(store, 6000.0, 1_000_000).select(F.col("ord").alias("doc_id"), "size", "lang", "source")
 
 
 def content_sniff(spark, sf):
@@ -255,8 +257,8 @@ def png_sizes(spark, sf):
 
 
 def rules_decider(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null")
-    state = F.struct(F.concat(F.lit("s"), F.col("source")).alias("subject"), F.col("text").alias("body"), F.lit("none").alias("attachments"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    state = F.struct(F.concat(F.lit("s"), F.col("source")).alias("subject"), F.coalesce("text", F.lit("")).alias("body"), F.lit("none").alias("attachments"))
     a = d.select("doc_id", decider.keyword_answers(state, SHOP).alias("a"))
     return a.select("doc_id", F.col("a.email_type.choice").alias("kind"), F.col("a.process.choice").alias("process"), F.col("a.volume.choice").alias("volume"), "a.urgency.score", F.col("a.export_controlled.p").alias("export_p"), F.col("a.quantity_given.p").alias("quantity_p"))
 
@@ -265,7 +267,7 @@ def routed_documents(spark, sf):
     """From texts to decisions in one plan: rules, policy, lanes."""
     from ..engine import Engine
 
-    d = table(spark, sf, "documents").where("text is not null")
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
     emails = d.select(F.col("doc_id").alias("id"), F.col("source").alias("from_name"), F.concat("source", F.lit("@x.example.com")).alias("from_email"), F.concat(F.lit("s"), F.col("source")).alias("subject"), F.col("text").alias("body"), F.array().cast(f"array<{att_type()}>").alias("attachments"), F.lit(None).cast("string").alias("expected_lane"))
     return Engine(spark, SHOP).route(emails, bridge.TODAY).groupBy("lane", "priority").agg(F.count("*").alias("n"))
 
@@ -331,29 +333,31 @@ def queue_order(spark, sf):
     return ordered.select("o_orderkey", F.col("q.col1").alias("batch"), F.col("q.col2").alias("position"))
 
 
+#: The shapes, in the order in which parts take them.
+SHAPES = (
+    "plate", "block", "bracket", "housing", "cover", "manifold", "heatsink", "fixture", "enclosure", "structural_fitting", "impeller", "implant", "contoured",
+    "shaft", "pin", "disc", "nozzle", "threaded_fitting", "bushing", "spacer", "ring", "weldment", "sheet_metal", "casting", "assembly",
+)
+
+
 def mesh_bbox(spark, sf):
-    p = part_specs(spark, sf).where("shape not in ('bushing')")
-    m = p.select("p_partkey", render.mesh(F.lit("plate"), F.col("size")).alias("m"))
-    box = lambda i: F.col("m.bbox")[i]
-    return m.select("p_partkey", F.size("m.vertices").alias("vertices"), F.size("m.faces").alias("faces"), box(0).alias("x"), box(1).alias("y"), box(2).alias("z"))
+    """Every part as one of all shapes: its mesh's extents, and that its corners are where its faces say."""
+    p = part_specs(spark, sf).withColumn("shape", F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("p_partkey") % 25 + 1).cast("int")))
+    m = p.select("p_partkey", "shape", render.mesh("shape", "size").alias("m"))
+    used = F.array_size(F.array_distinct(F.flatten("m.faces"))) == F.size("m.vertices")
+    return m.select("p_partkey", "shape", *[F.col("m.bbox")[i].alias(c) for i, c in enumerate("xyz")], used.alias("all_used"))
 
 
 def render_files(spark, sf):
-    p = part_specs(spark, sf)
-    text = att.drawing_text(F.col("a"))
-    d = _drawing(p, "drawing").select("p_partkey", F.col("a.title").alias("title"), text.alias("text"), F.col("a.shape").alias("shape"), F.col("a.size").alias("size"), F.col("a.units").alias("units"))
-    part = F.col("p_partkey").cast("string")
-    return d.select(
-        "p_partkey",
-        F.length(render.pdf("title", "text", "shape", "size")).alias("pdf_bytes"),
-        F.length(render.svg("shape", "size", "title")).alias("svg_chars"),
-        F.length(render.step("shape", "size", part, "title", "units")).alias("step_chars"),
-    )
+    """The file of every part's drawing: what it is, how many pages, and that it is whole."""
+    d = _drawing(part_specs(spark, sf), "drawing").select("p_partkey", layout.derived(F.col("a")).alias("f"))
+    head = F.decode(F.substring("f.content", 1, 8), "ISO-8859-1")
+    return d.select("p_partkey", "f.media", "f.pages", head.alias("head"), (F.length("f.content") > 1000).alias("long_enough"), F.contains("f.thumb", F.lit("PAGE 1 OF 1")).alias("numbered"), "f.error")
 
 
 def described(spark, sf):
     a = _drawing(part_specs(spark, sf), "model").select("p_partkey", att.describe(F.col("a"), F.concat(F.lit("/att/"), F.col("p_partkey")), F.lit(True)).alias("d"))
-    return a.select("p_partkey", "d.kind", "d.label", "d.media", F.length("d.preview").alias("preview_chars"), F.regexp_replace("d.url", "v=.*", "v=").alias("url"))
+    return a.select("p_partkey", "d.kind", "d.label", "d.media", F.length("d.preview").alias("preview_chars"), "d.url")
 
 
 QUERIES = (
@@ -366,7 +370,7 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *more_queries.QUERIES)}
 
 
 __all__ = ["queries"]

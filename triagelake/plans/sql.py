@@ -8,6 +8,7 @@ from ..operators import attachments as att
 from ..operators import decider as dc
 from ..schemas import DOC_TYPE_LABELS, EMAIL_TYPE_LABELS, SLA_DAYS
 from .bridge import SHOP, TIERS
+from .more_sql import more_sql
 from .policy_sql import _pct, _text, action_sql, decision_cte, trace_sql
 
 #: White space that Java's and Python's strip take away, as a character class of RE2.
@@ -30,6 +31,11 @@ def _measure(x: str, units: str = "units") -> str:
     return f"CASE WHEN {units}='mm' THEN CASE WHEN {x} < 100 THEN regexp_replace(printf('%.1f', {x}), '\\.?0+$', '') ELSE printf('%.0f', {x}) END ELSE regexp_replace(printf('%.3f', {x}), '^0\\.', '.') END"
 
 
+#: The shapes, in the order in which mesh_bbox's parts take them.
+SHAPES = "plate block bracket housing cover manifold heatsink fixture enclosure structural_fitting impeller implant contoured shaft pin disc nozzle threaded_fitting bushing spacer ring weldment sheet_metal casting assembly".split()
+#: Wording that marks controlled data.
+MARKED = r"(?i)\b(itar|arms export control|export administration regulations|eccn|cui|controlled unclassified|dfars 252\.204-7012|u\.s\. persons only)\b"
+
 PARTS = "p AS (SELECT p_partkey, p_name, p_brand, p_type, split_part(p_name, ' ', -1) AS shape, p_size::DOUBLE AS s1, p_size/2.0::DOUBLE AS s2, p_size/4.0::DOUBLE AS s3, CASE WHEN p_partkey%2=0 THEN 'mm' ELSE 'in' END AS units FROM part)"
 R3, R2 = "('bushing','spacer','ring')", "('shaft','pin','disc','nozzle','threaded_fitting')"
 #: Clamped dimensions: a bore below what is around it.
@@ -81,7 +87,7 @@ def _rules() -> str:
     most = f"list_max(list_transform(regexp_extract_all({text}, '{dc.COUNTED}', 1), lambda x: replace(x, ',', '')::BIGINT))"
     export = f"CASE WHEN {_has(dc.EXPORT_PITCH[0], text)} AND {_has(dc.EXPORT_PITCH[1], text)} THEN 0.55 WHEN {_has(dc.EXPORT, text)} THEN 0.92 ELSE 0.04 END::DOUBLE"
     level = f"CASE WHEN {_has(dc.URGENCY[2], body)} THEN 3 WHEN {_has(dc.URGENCY[1], body)} THEN 2 WHEN {_has(dc.URGENCY[0], body)} THEN 1 ELSE 0 END"
-    return f"""WITH s AS (SELECT doc_id, lower('s' || source) AS subject, lower('s' || source || ' ' || text) AS body, lower('{{"subject":"s' || source || '","body":"' || text || '","attachments":"none"}}') AS whole FROM documents WHERE text IS NOT NULL),
+    return f"""WITH s AS (SELECT doc_id, lower('s' || source) AS subject, lower('s' || source || ' ' || coalesce(text, '')) AS body, lower('{{"subject":"s' || source || '","body":"' || coalesce(text, '') || '","attachments":"none"}}') AS whole FROM documents),
       a AS (SELECT doc_id, {kind} AS kind, {process} AS process, {most} AS most, {level} AS level, {export} AS export_p, CASE WHEN {_has(dc.QUANTITY, text)} THEN 0.88 ELSE 0.12 END::DOUBLE AS quantity_p FROM s)
       SELECT doc_id, kind, process, CASE WHEN most IS NULL THEN 'not_stated' WHEN most > 250 THEN 'production' WHEN most > 10 THEN 'low_volume' ELSE 'prototype' END AS volume,
       round(level*0.76 + (6 - level)*0.08, 4)::DOUBLE AS score, export_p, quantity_p FROM a"""
@@ -95,7 +101,6 @@ def oracle_sql() -> dict[str, str]:
     renamed = re.sub(r"FROM (o|w|s|s2|s3|s4|s5|s6|s7|s8|s9|s10)\n", r"FROM z\1\n", renamed)
     both = f"{d}, {renamed}"
     assert SLA_DAYS == {"P1": 0, "P2": 2, "P3": 5}
-    kinds = _text([*DOC_TYPE_LABELS, "unknown"])
     labels = _text([*(x.upper() for x in DOC_TYPE_LABELS.values()), "DOCUMENT"])
     cad = _text(att.CAD_ENDINGS)
     notdraw = att.NOT_A_DRAWING
@@ -151,30 +156,33 @@ def oracle_sql() -> dict[str, str]:
         "drawing_text": f"WITH {PARTS}, {DIMS} SELECT p_partkey, {drawing} AS text FROM q",
         "model_text": f"WITH {PARTS}, {DIMS} SELECT p_partkey, {model} AS text FROM q",
         "rfq_form_text": f"SELECT p_partkey, 'REQUEST FOR QUOTATION R-' || p_partkey || ' FROM Acme' || chr(10) || 'DATE: 2026-09-01. RESPOND BY: 2026-09-10. BUYER: Ana.' || chr(10) || 'LINE 1: ' || {rfq_line} || chr(10) || 'LINE 2: ' || {rfq_line} || chr(10) || 'TERMS: NET 30' AS text FROM part",
-        "document_text": f"SELECT doc_id, {labels}[doc_id%10+1] || ': Doc ' || doc_id || chr(10) || lang || ': ' || source || ' line - two' AS text FROM documents WHERE text IS NOT NULL AND len({kinds}) = 10",
+        "document_text": f"SELECT doc_id, md5({labels}[doc_id%10+1] || ': Doc ' || doc_id || chr(10) || lang || ': ' || source || ' line - two ' || {_clean('text')}) AS digest FROM documents",
         "cad_detection": f"""WITH n AS (SELECT p_partkey, 'Part' || p_partkey || (['','_po','-rfq','cert_','support'])[p_partkey%5+1] || '.' || (['step','pdf','STP','jpg','dwg','zip'])[p_partkey%6+1] AS name, (['name_only','upload','drawing','po'])[p_partkey%4+1] AS kind FROM part)
           SELECT p_partkey, name, CASE WHEN kind='drawing' THEN true WHEN kind='po' THEN false WHEN kind='upload' AND p_partkey%8<>1 THEN false
             ELSE list_contains({cad}, lower('.' || split_part(name, '.', -1))) OR (lower(name) LIKE '%.pdf' AND NOT regexp_matches(lower(name), '{notdraw}')) END AS cad FROM n""",
-        "marked_documents": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b(license|licensed|copyright|warranty)\b')",
+        "marked_documents": f"""WITH t AS (SELECT doc_id, {_strip('text')} AS plain, {_strip("CASE doc_id%3 WHEN 0 THEN 'Note: ITAR' || chr(10) WHEN 1 THEN 'SITAR, U.S. PERSONS ONLY. ' ELSE 'SITAR and cuisine. ' END || text")} AS marked FROM documents)
+          SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(plain, '{MARKED}') THEN 'plain.pdf' END, CASE WHEN regexp_matches(marked, '{MARKED}') THEN 'marked.pdf' END], lambda x: x IS NOT NULL), ',') AS names FROM t""",
         "clean_squeeze": f"SELECT doc_id, md5({_clean(noisy)}) AS cleaned, md5({_squeeze(noisy)}) AS squeezed FROM documents",
         "body_truncation": f"WITH b AS (SELECT doc_id, {_strip('text')} AS t FROM documents), c AS (SELECT doc_id, CASE WHEN length(t) > 8000 THEN substring(t, 1, 8000) || ' [truncated]' ELSE t END AS b FROM b) SELECT doc_id, length(b)::INT AS n, md5(b) AS digest FROM c",
         "text_budget": f"WITH c AS (SELECT conv_id, list(repeat(text, 6) ORDER BY turn, role, text) AS texts FROM conversations GROUP BY conv_id) SELECT conv_id, ({budget}).out AS lengths FROM c",
         "tidy_lines": f"SELECT doc_id, md5({tidy}) AS digest FROM documents",
-        "message_state": f"""WITH o AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority, c_mktsegment, c_name, o_orderkey % (SELECT count(*) FROM documents) AS body_id FROM orders JOIN customer ON o_custkey=c_custkey)
+        "message_state": f"""WITH o AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority, c_mktsegment, c_name FROM orders JOIN customer ON o_custkey=c_custkey), b AS (SELECT doc_id, {_strip('text')} AS t FROM documents),
+          f AS (SELECT o.*, coalesce(CASE WHEN length(t) > 8000 THEN substring(t, 1, 8000) || ' [truncated]' ELSE t END, '') AS body,
+            list_filter([CASE WHEN id%3=0 THEN '{{"file":"part' || id || '.step","content":"(attached to the email; only the file name is available, not its contents)"}}' WHEN id%3=1 THEN '{{"file":"rfq_form.pdf","content":"(attached to the email; only the file name is available, not its contents)"}}' END,
+              CASE WHEN id%10=0 THEN '{{"file":"scan' || id || '.pdf","content":"Notes. ITAR controlled."}}' END], lambda x: x IS NOT NULL) AS fs FROM o LEFT JOIN b ON doc_id = id)
           SELECT id, CASE WHEN id%4=0 THEN 'Purchasing Team' WHEN id%4=1 THEN 'Dr. Ana ' || c_name ELSE c_name END || ' <buyer' || o_custkey || '@' || lower(c_mktsegment) || '.example.com>' AS sender,
-            CASE WHEN id%8=0 THEN '(no subject)' ELSE 'Order ' || id || ' ' || o_orderpriority END AS subject, CASE WHEN length({_strip('text')}) > 8000 THEN 8012 ELSE length({_strip('text')}) END::INT AS body_chars, (id%3=2 AND id%10<>0) AS bare FROM o JOIN documents ON doc_id = body_id""",
+            CASE WHEN id%8=0 THEN '(no subject)' ELSE 'Order ' || id || ' ' || o_orderpriority END AS subject, md5(body) AS body, md5(CASE WHEN len(fs) = 0 THEN 'none' ELSE '[' || array_to_string(fs, ',') || ']' END) AS attachments FROM f""",
         "cache_merge": f"WITH a AS {_layer(0)}, b AS {_layer(1)} SELECT key, coalesce(b.saved_at, a.saved_at) AS saved_at, round(CASE WHEN b.key IS NULL THEN a.value ELSE b.value END, 6) AS value FROM a FULL JOIN b USING (key)",
         "cache_hits_misses": f"WITH a AS {_layer(0)}, b AS {_layer(1)} SELECT a.key, CASE WHEN b.key IS NULL THEN 'miss' ELSE 'hit' END AS outcome FROM a LEFT JOIN b ON a.key=b.key",
         "latest_record": "SELECT user_id::VARCHAR AS key, max(event_id) AS saved_at, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
         "cache_size": "SELECT count(DISTINCT user_id || ':' || event_type) AS cache_size FROM events",
-        "change_feed": f"""{both}, p AS (SELECT k, lane || '/' || coalesce(priority, '') AS sig FROM d WHERE k%7<>0), c AS (SELECT k, lane || '/' || coalesce(priority, '') AS sig FROM zd WHERE k%11<>0)
-          SELECT coalesce(p.k, c.k) AS id, CASE WHEN p.k IS NULL THEN 'added' WHEN c.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM p FULL JOIN c ON p.k=c.k WHERE p.k IS NULL OR c.k IS NULL OR p.sig <> c.sig""",
+        "change_feed": f"{both} SELECT d.k AS id, 'changed' AS change FROM d JOIN zd ON d.k = zd.k WHERE d.lane <> zd.lane OR d.priority IS DISTINCT FROM zd.priority",
         "version_feed": "WITH e AS (SELECT user_id AS id, event_id%16 AS version, max(event_type) AS sig FROM events GROUP BY 1, 2), l AS (SELECT *, lag(sig) OVER (PARTITION BY id ORDER BY version) AS b FROM e) SELECT id, max(version) AS changed_at FROM l WHERE b IS NULL OR b <> sig GROUP BY id",
         "board_stats": f"""WITH i AS (SELECT {item} FROM events), m AS (SELECT list_sort(list(lat)) AS v FROM i WHERE lane IS NOT NULL AND lat <> 0)
           SELECT count(*) AS total, count(lane) AS routed, count(*) FILTER (lane <> 'review') AS auto, count(*) FILTER (lane = 'review') AS review, count(good) FILTER (lane IS NOT NULL) AS graded, count(*) FILTER (lane IS NOT NULL AND good) AS matches,
             round(avg(lat) FILTER (lane IS NOT NULL AND lat <> 0), 4) AS avg_latency_ms, round(sum(coalesce(cost, 0)) FILTER (lane IS NOT NULL), 4) AS cost_usd, round(sum(price) FILTER (lane IS NOT NULL), 4) AS list_price_usd,
             round((SELECT v[len(v)//2+1] FROM m), 4) AS median_latency_ms, bool_or(lane IS NOT NULL AND NOT coalesce(est, true)) AS cost_reported FROM i""",
-        "upload_retention": "WITH s AS (SELECT doc_id, n_chars AS size FROM documents WHERE doc_id%3=0 OR 6000 - doc_id%100*60 <= 3600), t AS (SELECT *, sum(size) OVER (ORDER BY doc_id DESC) AS total FROM s) SELECT doc_id, size FROM t WHERE total <= 1000000",
+        "upload_retention": "WITH s AS (SELECT doc_id, n_chars AS size, lang, source FROM documents WHERE doc_id%3=0 OR 6000 - doc_id%100*60 <= 3600), t AS (SELECT *, sum(size) OVER (ORDER BY doc_id DESC) AS total FROM s) SELECT doc_id, size, lang, source FROM t WHERE total <= 1000000",
         "content_sniff": "SELECT page_id, CASE WHEN page_id%4 IN (0, 1) THEN 'pdf' WHEN page_id%4=2 THEN 'png' END AS media FROM pages",
         "png_sizes": "SELECT p_partkey, p_partkey + 7 AS width, p_size::BIGINT AS height FROM part",
         "rules_decider": _rules(),
@@ -182,15 +190,20 @@ def oracle_sql() -> dict[str, str]:
         "error_kinds": """WITH e AS (SELECT ([400,401,402,403,404,418,422,429,500,503,529])[event_id%11+1]::INT AS status, event_id%2=0 AS plan FROM events)
           SELECT status, CASE WHEN status=403 AND plan THEN 'billing' WHEN status IN (401,403) THEN 'auth' WHEN status=402 THEN 'billing' WHEN status=429 THEN 'rate_limit' WHEN status IN (400,422) THEN 'validation' WHEN status=404 THEN 'not_found'
             WHEN status IN (503,529) THEN 'overloaded' WHEN status>=500 THEN 'server' ELSE 'bad_response' END AS kind, count(*) AS n FROM e GROUP BY 1, 2""",
-        "error_messages": "SELECT event_id, CASE WHEN event_id%4=3 THEN 'HTTP error' ELSE event_type END AS message FROM events",
+        "error_messages": "SELECT event_id, CASE WHEN event_id%4=3 THEN 'not json' ELSE event_type END AS message FROM events",
         "safe_filenames": f"""WITH b AS (SELECT p_partkey, regexp_replace(replace(split_part(replace({safe_in}, chr(92), '/'), '/', -1), '<', ''), '\\s+', ' ', 'g') AS n FROM part)
           SELECT p_partkey, CASE WHEN lower(n) LIKE '%.pdf' THEN n WHEN n LIKE '%.txt' THEN regexp_replace(n, '\\.txt$', '.pdf') ELSE n || '.pdf' END AS name FROM b""",
         "first_names": "SELECT c_custkey, CASE c_custkey%4 WHEN 0 THEN split_part(c_name, ' ', 1) WHEN 1 THEN 'there' WHEN 2 THEN 'there' ELSE 'there' END AS first FROM customer",
         "business_days": f"WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderkey%12+1 AS n FROM orders), p AS (SELECT o_orderkey, day, {due} AS due FROM o) SELECT o_orderkey, due::VARCHAR AS due, CASE WHEN due = day + 1 THEN 'tomorrow' ELSE strftime(due, '%a, %b %-d') END AS label FROM p",
         "size_phrases": f"WITH {PARTS}, {DIMS} SELECT p_partkey, {_size_phrase()} AS size, {_bbox_phrase()} AS box FROM q",
         "queue_order": "SELECT o_orderkey, CASE WHEN o_orderkey%4=0 THEN -(o_orderkey//10) ELSE o_orderkey//10 END AS batch, o_orderkey%10 AS position FROM orders",
-        "mesh_bbox": "SELECT p_partkey, 8 AS vertices, 6 AS faces, greatest(p_size, 0.001)::DOUBLE AS x, round(greatest(p_size/2.0, 0.001), 4)::DOUBLE AS y, round(greatest(p_size/4.0, 0.001), 4)::DOUBLE AS z FROM part WHERE split_part(p_name, ' ', -1) <> 'bushing'",
-        "described": f"WITH {PARTS}, {DIMS} SELECT p_partkey, 'model' AS kind, '3D model' AS label, 'step' AS media, least(700, length({model}))::INT AS preview_chars, '/att/' || p_partkey || '/file?v=' AS url FROM q",
+        "mesh_bbox": f"""WITH p AS (SELECT p_partkey, ({_text(SHAPES)})[p_partkey%25+1] AS shape, p_size::DOUBLE AS s1, p_size/2.0::DOUBLE AS s2, p_size/4.0::DOUBLE AS s3, 'in' AS units FROM part), {DIMS}
+          SELECT p_partkey, shape, round(d1, 4) AS x, round(d2, 4) AS y, round(CASE WHEN shape IN {R3} OR shape IN {R2} THEN d2 ELSE d3 END, 4) AS z, true AS all_used FROM q""",
+        "render_files": "SELECT p_partkey, 'application/pdf' AS media, 1::INT AS pages, '%PDF-1.4' AS head, true AS long_enough, true AS numbered, NULL::VARCHAR AS error FROM part",
+        "described": f"""WITH {PARTS}, {DIMS}, j AS (SELECT *, '{{"name":"d.pdf","kind":"model",' || CASE WHEN p_partkey%5=0 THEN '"legend":"proprietary",' ELSE '' END || '"company":"Acme","title":"' || p_name || '","part_number":"' || p_partkey || '",' || CASE WHEN p_partkey%3<>0 THEN '"rev":"B",' ELSE '' END
+            || '"shape":"' || shape || '","units":"' || units || '","size":[' || s1 || ',' || s2 || ',' || s3 || '],"material":"' || p_type || '","callouts":["' || p_brand || '","2X\\tHOLES"],"notes":["BREAK EDGES","CLEAN “PARTS”"],"originating_system":"CAD 1"}}' AS spec FROM q)
+          SELECT p_partkey, 'model' AS kind, '3D model' AS label, 'step' AS media, least(700, length({model}))::INT AS preview_chars, '/att/' || p_partkey || '/file?v=' || substring(sha1(spec), 1, 10) AS url FROM j""",
+        **more_sql(),
     }
 
 

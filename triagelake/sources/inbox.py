@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import uuid
 
 import pandas as pd
@@ -14,11 +13,12 @@ from pyspark.sql import types as T
 from ..functions.text import tidy_lines
 from ..operators import attachments as att
 from ..schemas import ANSWERS, Lane, Shop
+from .client import parse_settings
 
 EMAIL = "id string, received string, from_name string, from_email string, subject string, body string, attachments array<variant>, expected struct<lane:string>, live boolean"
 INBOX = f"struct<emails:array<struct<{EMAIL.replace(' ', ':').replace(',:', ',')}>>,paste_examples:array<struct<{EMAIL.replace(' ', ':').replace(',:', ',')}>>>"
 #: Limits of reading PDF text.
-PDF_PAGES, PDF_CHARS = 40, 60_000
+PDF_PAGES, PDF_CHARS, PDF_SECONDS, PDF_MEMORY = 40, 60_000, 25.0, 1 << 30
 
 
 def read_inbox(spark: SparkSession, path: str) -> DataFrame:
@@ -88,36 +88,59 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), "content")
 
 
-_SETTING = re.compile(r"""^(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(?:(["'])(.*?)\2|(.*?)(?:\s#.*)?)\s*$""")
-
-
 def read_env(spark: SparkSession, path: str) -> DataFrame:
     """(name, value) of a KEY=VALUE file: comments, `export `, quotes and trailing ` #` remarks. Such files
     belong to the driver and are hidden from Spark's readers by their names."""
-    with open(path, encoding="utf-8-sig") as f:
-        found = [m for line in f if (m := _SETTING.match(line.strip()))]
-    return spark.createDataFrame([(m[1], m[3] if m[2] else m[4]) for m in found], "name string, value string")
+    with open(path, encoding="utf-8", errors="replace") as f:
+        return spark.createDataFrame(list(parse_settings(f.read()).items()), "name string, value string")
 
 
 PDF_TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("pages", T.IntegerType()), T.StructField("error", T.StringType())])
 
 
+#: What reads one file: its own process, so that a broken file costs no more than its time and memory.
+READER = """
+import io, json, resource, sys
+pages, chars, memory = map(int, sys.argv[1:])
+resource.setrlimit(resource.RLIMIT_AS, (memory, memory))
+out = {"text": "", "pages": None, "error": None}
+try:
+    from pypdf import PdfReader
+    found = PdfReader(io.BytesIO(sys.stdin.buffer.read())).pages
+    out["pages"] = len(found)
+    for page in found[:pages]:
+        out["text"] += (page.extract_text() or "") + "\\n"
+        if len(out["text"]) > chars:
+            break
+    out["text"] = out["text"][:chars]
+except ImportError:
+    out["error"] = "no PDF reader is installed"
+except BaseException as e:
+    out["error"] = (str(e) or type(e).__name__)[:200]
+print(json.dumps(out))
+"""
+
+
+def read_pdf(data: bytes | None, seconds: float = PDF_SECONDS, memory: int = PDF_MEMORY, reader: str = READER) -> tuple[str, int | None, str | None]:
+    """(text, pages, error) of one PDF file. Never raises: whatever goes wrong is the error's text."""
+    import subprocess
+    import sys
+
+    if data is None:
+        return "", None, "no content"
+    try:
+        done = subprocess.run([sys.executable, "-c", reader, str(PDF_PAGES), str(PDF_CHARS), str(memory)], input=data, capture_output=True, timeout=seconds)
+        got = json.loads(done.stdout)
+        return got["text"], got["pages"], got["error"]
+    except subprocess.TimeoutExpired:
+        return "", None, f"reading took longer than {seconds:g} seconds"
+    except (OSError, ValueError, KeyError):
+        return "", None, "the reader ended without an answer"
+
+
 @F.pandas_udf(PDF_TEXT)
 def _pdf_text(contents: pd.Series) -> pd.DataFrame:
-    def one(data: bytes | None) -> tuple[str, int | None, str | None]:
-        try:
-            import io
-
-            from pypdf import PdfReader
-        except ImportError:
-            return "", None, "no PDF reader is installed"
-        try:
-            pages = PdfReader(io.BytesIO(data)).pages
-            return "\n".join(p.extract_text() or "" for p in pages[:PDF_PAGES])[:PDF_CHARS], len(pages), None
-        except Exception as e:  # noqa: BLE001 - whatever a broken file raises becomes its error text
-            return "", None, str(e)[:200]
-
-    return pd.DataFrame([one(c) for c in contents], columns=["text", "pages", "error"]).astype({"pages": "Int32"})
+    return pd.DataFrame([read_pdf(c) for c in contents], columns=["text", "pages", "error"]).astype({"pages": "Int32"})
 
 
 def pdf_text(files: DataFrame) -> DataFrame:
