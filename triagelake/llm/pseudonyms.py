@@ -8,6 +8,7 @@ stay linked across documents, and unequal ones stay apart.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import re
@@ -21,25 +22,35 @@ from pyspark.sql import types as T
 from .common import give_back
 
 ROUNDS = 10
-DEFAULT_KEY = "public example key; give your own"
+#: The key of the query over the driver's tables. It is public, so whoever has it can undo its pseudonyms: for
+#: data of your own give another.
+EXAMPLE_KEY = "public example key; give your own"
 
 
-def permute(x: int, n: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of 0..n-1. tweak names the format, so formats are permuted apart."""
-    if n < 2:
-        return x
+def feistel(x: int, n: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A keyed permutation of 0..n-1, or the way back: a Feistel network over the next even number of bits,
+    walked until it lands below n. tweak names the format, so formats are permuted apart."""
     half = max(1, ((n - 1).bit_length() + 1) // 2)
     mask, size = (1 << half) - 1, (half + 7) // 8
+
+    def mixed(r: int, v: int) -> int:
+        return int.from_bytes(hashlib.blake2b(f"{tweak}|{n}|{r}|{v}".encode(), key=key, digest_size=min(64, size + 8)).digest(), "big")
+
     while True:
         a, b = x >> half, x & mask
-        for r in range(ROUNDS):
-            d = hashlib.blake2b(f"{tweak}|{n}|{r}|{b}".encode(), key=key, digest_size=min(64, size + 8)).digest()
-            a, b = b, (a ^ int.from_bytes(d, "big")) & mask
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            a, b = ((b ^ mixed(r, a)) & mask, a) if back else (b, (a ^ mixed(r, b)) & mask)
         x = a << half | b
         if x < n:
             return x
 
 
+def permute(x: int, n: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of 0..n-1 that leaves nothing where it was: there, one step on, and back, so that
+    all values lie on one cycle. A single value has no other place."""
+    return x if n < 2 else feistel((feistel(x, n, key, tweak) + 1) % n, n, key, tweak, back=True)
+
+
 def _luhn_digit(digits: str) -> str:
     total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
     return str(-total % 10)
@@ -141,7 +152,8 @@ def _mixed(s: str, key: bytes, tweak: str) -> str:
 
 def _email(s: str, key: bytes) -> str | None:
     local, _, host = s.rpartition("@")
-    return f"{_mixed(local, key, 'email')}@{host}"
+    *names, top = host.split(".")
+    return f"{_mixed(local, key, 'email')}@" + ".".join([*(_mixed(x, key, "host") for x in names), top])
 
 
 def _secret(s: str, key: bytes) -> str | None:
@@ -207,19 +219,21 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
         while (m := pattern.search(text, at)) is not None:
             begin, at = m.start(), m.end()
             for end in [begin + n for n in _iban_ends(m[0])] if kind == "iban" else [at]:
-                if all(end <= a or b <= begin for a, b, _, _ in taken) and (new := make(text[begin:end], key)) is not None:
-                    taken.append((begin, end, kind, new))
+                k = bisect.bisect(taken, (begin,))  # spans are apart and in order
+                free = (not k or taken[k - 1][1] <= begin) and (k == len(taken) or end <= taken[k][0])
+                if free and (new := make(text[begin:end], key)) is not None:
+                    taken.insert(k, (begin, end, kind, new))
                     at = end
                     break
             else:  # what isn't an IBAN may hold one
                 at = begin + 2 if kind == "iban" else at
-    return sorted(taken)
+    return taken
 
 
 FOUND = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(f"n_{k}", T.LongType()) for k, *_ in KINDS)])
 
 
-def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """A struct column: the text with pseudonyms, and for each kind how many values it had.
     Null stays null, with no values. Equal values get equal pseudonyms under one key."""
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
@@ -245,6 +259,7 @@ def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> Column:
     return replace(text)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
-    """docs with pseudonyms in the text; rows and other columns stay as they are."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """docs with pseudonyms in the text; rows (repeats, too) and other columns stay as they are, whatever their
+    names. Null and empty texts stay so."""
     return docs.withColumn(text_col, pseudonymised(F.col(text_col), key)["text"])

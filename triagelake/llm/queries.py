@@ -49,7 +49,7 @@ def op7_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", pseudonyms.pseudonymised(docs.text).alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", pseudonyms.pseudonymised(docs.text, pseudonyms.EXAMPLE_KEY).alias("p")).select("doc_id", "p.*")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
