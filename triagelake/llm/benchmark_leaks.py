@@ -13,18 +13,21 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back
+from .common import cut, give_back, own
 
 WINDOW = 10
-#: Item texts in one automaton; a larger benchmark is handled in blocks of this size, one after the other.
-BLOCK_BYTES = 8 << 20
+#: UTF-8 bytes of item texts in one automaton (which takes some 120 times that in a worker, if all words differ);
+#: a larger benchmark is handled in blocks of this size, one after the other.
+BLOCK_BYTES = 2 << 20
 #: Fixed value: the words of normalised text, on UTF-8 bytes after ASCII lower-casing.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -36,7 +39,7 @@ def words(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton of word sequences: transitions, link and length for each state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.len = array("i", [-1]), array("i", [0])
@@ -142,33 +145,37 @@ class SuffixAutomaton:
         return [(a, b) for a, b in runs], found
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of at most block_bytes of text each (an item above that stands alone); read
-    block by block, so the driver holds one at a time beside the automata's inputs."""
-    blocks: list[list[tuple[str, str]]] = []
-    held = block_bytes
+Item = tuple[str | None, str]
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[Item]]:
+    """The distinct items in blocks of at most block_bytes of text each (an item above that stands alone). They
+    come partition by partition, so the driver holds one partition and one block at a time."""
+    block: list[Item] = []
+    held = 0
     for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct().toLocalIterator():
-        n = len(r.t) * 2 + 64
-        if held + n > block_bytes:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.i, r.t))
+        n = len(r.t.encode("utf-8", "surrogatepass")) + 64
+        if block and held + n > block_bytes:
+            yield block
+            block, held = [], 0
+        block.append((r.i, r.t))
         held += n
-    return blocks
+    if block:
+        yield block
 
 
 @lru_cache(maxsize=2)
 def _automaton(key: str, shared, window: int) -> SuffixAutomaton:
     """A worker's automaton of the block named key."""
-    return SuffixAutomaton([(i or "", words(t)) for i, t in shared.value], window)
+    return SuffixAutomaton([(i, words(t)) for i, t in shared.value], window)
 
 
-HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+HITS = T.StructType([T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def hits_column(spark: SparkSession, block: list[tuple[str, str]], text: Column, window: int) -> Column:
-    """A struct column for one block: words of the text, hit runs (begin, end, begin, end, ...) and items.
-    The block's texts (at most BLOCK_BYTES) are broadcast; each Python worker builds its automaton once."""
+def hits_column(spark: SparkSession, block: list[Item], text: Column, window: int) -> tuple[Column, Broadcast]:
+    """A struct column for one block: hit runs (begin, end, begin, end, ...) and items (null identifiers too); and
+    the broadcast it reads. Each Python worker builds its automaton once."""
     shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
     @F.pandas_udf(HITS)
@@ -177,15 +184,14 @@ def hits_column(spark: SparkSession, block: list[tuple[str, str]], text: Column,
         for texts in batches:
             rows = []
             for text in texts:
-                seq = words(text)
-                runs, found = auto.stream(seq)
-                rows.append((len(seq), [x for r in runs for x in r], sorted({auto.names[k] for k in found})))
-            yield pd.DataFrame(rows, columns=["n_words", "runs", "items"])
+                runs, found = auto.stream(words(text))
+                rows.append(([x for r in runs for x in r], list({auto.names[k] for k in found})))
+            yield pd.DataFrame(rows, columns=["runs", "items"])
         del auto
         _automaton.cache_clear()
         give_back()
 
-    return hits(text)
+    return hits(text), shared
 
 
 def _merged(parts: list[list[int]]) -> list[tuple[int, int]]:
@@ -210,15 +216,17 @@ LEAKS = T.StructType(
 )
 
 
-def _leaks(n: int, parts: list[list[int]], names: list[list[str]]) -> tuple:
+def _leaks(n: int, parts: list[list[int]], names: list[list[str | None]]) -> tuple:
     merged = _merged([list(map(int, p)) for p in parts])
-    ids = sorted({x for p in names for x in p})
+    found = {x for p in names for x in p}
+    ids = [*([""] if None in found else []), *sorted(x for x in found if x is not None)]  # null as an empty one of its own
     return (int(n), sum(b - a for a, b in merged), max((b - a for a, b in merged), default=0), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), [x for r in merged for x in r])
 
 
 @F.pandas_udf(LEAKS)
-def _summary(n_words: pd.Series, runs: pd.Series, items: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_leaks(n, parts, names) for n, parts, names in zip(n_words, runs, items)], columns=[f.name for f in LEAKS])
+def _summary(texts: pd.Series, runs: pd.Series, items: pd.Series) -> pd.DataFrame:
+    none = lambda x: [] if x is None else list(x)
+    return pd.DataFrame([_leaks(len(words(t)), none(r), [none(p) for p in none(i)]) for t, r, i in zip(texts, runs, items)], columns=[f.name for f in LEAKS])
 
 
 def _without(text: str | None, runs, max_run: int) -> str | None:
@@ -266,18 +274,26 @@ def benchmark_leaks(
 
     Null and empty texts have no words and no hits; null item texts hold no window. Items without
     words match nothing. Rows are neither lost nor merged; a column named out_col is replaced.
-    Streaming is one pass a block, without a shuffle; a block is bounded by block_bytes."""
-    spark = docs.sparkSession
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes) or [[]]
-    if len(blocks) == 1:
-        return docs.withColumn(out_col, _one_block(spark, blocks[0], F.col(text_col), window, max_run))
-    parts = [hits_column(spark, b, F.col(text_col), window) for b in blocks]
-    tmp = [f"__block_{out_col}_{i}" for i in range(len(parts))]
-    out = docs
-    for name, p in zip(tmp, parts):
-        out = out.withColumn(name, p)
-    out = out.withColumn(out_col, _summary(F.col(f"{tmp[0]}.n_words"), F.array(*[F.col(f"{t}.runs") for t in tmp]), F.array(*[F.col(f"{t}.items") for t in tmp])))
-    return out.drop(*tmp)
+    A benchmark of one block takes one pass without a shuffle. A larger one takes a pass a block, of which
+    only texts with hits are written (by digest), and a join at the end; building it runs these passes. A
+    null item_id counts as an item of its own with an empty name. max_run has no effect there."""
+    spark, text = docs.sparkSession, F.col(text_col)
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return docs.withColumn(out_col, _one_block(spark, first, text, window, max_run))
+    # every block by itself: its hits are written before the next one is made
+    sha, runs, items = own(docs, "sha", "runs", "items")
+    digest = F.unhex(F.sha2(text, 256))
+    texts = docs.where(text.isNotNull()).select(digest.alias(sha), text.alias("t"))
+    parts = []
+    for block in chain([first, second], blocks):
+        hits, shared = hits_column(spark, block, F.col("t"), window)
+        parts.append(cut(texts.select(sha, hits.alias("h")).where(F.size("h.runs") > 0).select(sha, "h.*").dropDuplicates([sha])))
+        shared.destroy()
+    found = reduce(DataFrame.unionByName, parts).groupBy(sha).agg(F.collect_list("runs").alias(runs), F.collect_list("items").alias(items))
+    joined = docs.withColumn(sha, digest).join(cut(found), sha, "left")
+    return joined.withColumn(out_col, _summary(text, F.col(runs), F.col(items))).drop(sha, runs, items)
 
 
 def _positions(text: str) -> list[tuple[int, int]]:
