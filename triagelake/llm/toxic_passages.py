@@ -36,8 +36,8 @@ PER_TEXT = 3
 PREFIXES = (4, 5, 6, 7, 8)
 #: A segment is significant if ordinary text of this length has a better one with at most this probability.
 SEGMENT_P = 0.05
-#: Words whose scores a worker keeps.
-CACHE_WORDS = 100_000
+#: Words whose scores a worker keeps, and letters of them, beside those of one text.
+CACHE_WORDS, CACHE_LETTERS = 100_000, 4 << 20
 #: Features that a task counts before it hands them on.
 COUNT_ROWS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -85,20 +85,19 @@ class ToxicityModel:
     intercept: float = -2.0
     slope: float = 1.0
     cache: dict[str, float] = field(default_factory=dict, repr=False)
+    letters: int = 0
 
     def word_score(self, word: str) -> float:
         best = max((self.scores[f] for f in features(word) if f in self.scores), key=lambda x: abs(x[0]), default=None)
         return self.ordinary if best is None else best[1]
 
     def word_scores(self, seq: list[str]) -> np.ndarray:
-        cache = self.cache
-        for w in set(seq):
-            if w not in cache:
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                    return self.word_scores(seq) if len(set(seq)) < CACHE_WORDS else np.array([self.word_score(w) for w in seq])
-                cache[w] = self.word_score(w)
-        return np.fromiter(map(cache.__getitem__, seq), np.float64, len(seq))
+        new = [w for w in set(seq) if w not in self.cache]
+        if len(self.cache) + len(new) > CACHE_WORDS or self.letters > CACHE_LETTERS:
+            self.cache, self.letters, new = {}, 0, list(set(seq))
+        self.cache.update((w, self.word_score(w)) for w in new)
+        self.letters += sum(map(len, new))
+        return np.fromiter(map(self.cache.__getitem__, seq), np.float64, len(seq))
 
     def passages(self, seq: list[str]) -> list[tuple[float, int, int]]:
         """Segments with their normalised scores (Gumbel's variable), the best first."""
@@ -135,7 +134,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of at most `limit` labelled rows that are not held out; conflicting labels count as toxic."""
+    """(text, toxic) of at most `limit` labelled rows that are not held out; conflicting labels count as toxic;
+    of texts with one identifier the least counts, so the rows' order means nothing."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("__id"))
@@ -145,7 +145,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     )
     # at most `limit` rows of two numbers
     text = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).where("text is not null")
-    return text.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).dropDuplicates(["__id"]).select("text", F.col("toxic").cast("int").alias("toxic"))
+    one = text.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).groupBy("__id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return one.select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> ToxicityModel:
@@ -290,4 +291,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose score is one half or more; columns stay as they are."""
     model = fit(docs, labels, id_col, text_col)
-    return docs.withColumn("__toxicity", toxicity(F.col(text_col), model)["score"]).where("__toxicity < 0.5").drop("__toxicity")
+    return docs.where(toxicity(F.col(text_col), model)["score"] < 0.5)
