@@ -210,7 +210,8 @@ def _base(text: str) -> tuple[int, int, int, int, int]:
 
 @F.pandas_udf(BASE)
 def base_counts(texts: pd.Series) -> pd.DataFrame:
-    """n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words of whole texts."""
+    """n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words of whole texts; all 0
+    for null and empty ones. A row for each row, repeats included."""
     return pd.DataFrame([_base(t or "") for t in texts], columns=[f.name for f in BASE])
 
 
@@ -223,5 +224,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = text_or_empty(text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), base_counts(text).alias("b"), _ratio_column(text, model.ratio).alias("log_ratio"))
     failed = (F.col("b.n_words") < 50) | (100 * F.col("b.n_repeat_words") > 50 * F.col("b.n_words"))
-    out = found.select("doc_id", "b.*", failed.alias("base_failed"), "log_ratio")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= F.lit(model.threshold)))
+    kept = ~F.col("base_failed") & (F.col("log_ratio") >= F.lit(model.threshold))
+    return found.select("doc_id", "b.*", failed.alias("base_failed"), "log_ratio").select("doc_id", *BASE.names, "base_failed", kept.alias("kept"), "log_ratio")
