@@ -449,25 +449,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
     Every byte inside a string of `least` bytes that starts at another place, too, of the same or any
-    other document, is removed; null is as empty. A text that occurs more than once as a whole goes
+    other document, is removed; null is as empty. Identifiers may be of any type, null, or repeated. A text that occurs more than once as a whole goes
     entirely (if it is long enough), and is searched for once. Texts are named by their SHA-256, so
     nothing depends on the order in which rows are read."""
     text = text_or_empty(text_col)
     texts = docs.select(F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("place", pa.list_(pa.int32())), ("first", pa.list_(pa.int32())), ("gram", pa.list_(pa.int64()))])
+    schema = pa.schema([("n_bytes", pa.int64()), ("sha", pa.binary()), ("place", pa.list_(pa.int32())), ("first", pa.list_(pa.int32())), ("gram", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            for text in b.column("text"):
                 data = text.as_buffer().to_pybytes()
-                values = (doc_id, len(data), hashlib.sha256(data).digest(), *anchors(data, least, gram))
+                values = (len(data), hashlib.sha256(data).digest(), *anchors(data, least, gram))
                 for col, v in zip(out, values):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+            made = [pa.array(c, f.type) for c, f in zip(out, schema)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], names=["doc_id", *schema.names])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    base = cut(plain.mapInArrow(scan, "doc_id long, n_bytes long, sha binary, place array<int>, first array<int>, gram array<long>"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    base = cut(plain.mapInArrow(scan, f"doc_id {kind}, n_bytes long, sha binary, place array<int>, first array<int>, gram array<long>"))
     copies = base.groupBy("sha").agg(F.count("*").alias("copies"))
     found = repeated_windows(texts, base, least, gram, limit).join(copies.where("copies = 1"), "sha", "left_semi")
 

@@ -11,8 +11,8 @@ File format (little-endian unless said otherwise), one file a shard:
     bloom    u32 bits, u8 probes, then the bits
     footer   u64 index offset, u64 bloom offset, u64 entries, u64 ids, u8 bytes of an id, 8 bytes magic
 
-A key is 0x00 for a null identifier, else 0x01 and the signed 64-bit identifier, big-endian, with
-its sign bit flipped, so that keys sort as identifiers do.
+A key is 0x00 for a null identifier; 0x01 and the signed 64-bit number, big-endian, with its sign bit
+flipped; or 0x02 and a text's UTF-8 bytes. So keys sort as identifiers do.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import give_back, scan_parallelism, tokenizer_path
 from .token_counts import BATCH_BYTES, byte_batches, encoder
@@ -41,11 +42,15 @@ BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 _FOOTER = struct.Struct("<QQQQB8s")
 
 
-def key_of(doc_id: int | None) -> bytes:
+def key_of(doc_id: int | str | None) -> bytes:
+    if isinstance(doc_id, str):
+        return b"\x02" + doc_id.encode("utf-8", "surrogatepass")
     return b"\x00" if doc_id is None else b"\x01" + struct.pack(">Q", (int(doc_id) + (1 << 63)) & ((1 << 64) - 1))
 
 
-def id_of(key: bytes) -> int | None:
+def id_of(key: bytes) -> int | str | None:
+    if key[:1] == b"\x02":
+        return key[1:].decode("utf-8", "surrogatepass")
     return None if key == b"\x00" else struct.unpack(">Q", key[1:])[0] - (1 << 63)
 
 
@@ -180,7 +185,7 @@ class TableReader:
             yield key, start, np.frombuffer(raw, self.dtype, count, at + 12)
             at += n
 
-    def __iter__(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | str | None, int, np.ndarray]]:
         for i in range(len(self.offsets)):
             for key, start, ids in self._block(i):
                 yield id_of(key), start, ids
@@ -188,7 +193,7 @@ class TableReader:
     def may_hold(self, key: bytes) -> bool:
         return all(self.flags[p >> 3] & 1 << (p & 7) for p in _probes(key, self.bits, self.probes))
 
-    def get(self, doc_id: int | None) -> list[np.ndarray]:
+    def get(self, doc_id: int | str | None) -> list[np.ndarray]:
         """The ids of every entry with this identifier, in the file's order."""
         key = key_of(doc_id)
         if not self.firsts or not self.may_hold(key):
@@ -211,13 +216,14 @@ def write_tables(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
     """Encodes every whole text, appends end_id, and writes shards in ascending order of id_col below
     the URI `to`, with a manifest that names them in order with their first document's start.
 
-    Null texts are empty; null identifiers come first; rows with equal identifiers are all kept, side
+    Identifiers are whole numbers or texts. Null texts are empty; null identifiers come first; rows with equal identifiers are all kept, side
     by side. Shard files carry a random part in their names and count only once the manifest names
     them, so a task that is run again leaves the result as it is. The driver gets one row a shard."""
     spark, path = docs.sparkSession, tokenizer_path(vocabulary)
     shards = shards or scan_parallelism(spark)
+    text_ids = isinstance(docs.schema[id_col].dataType, StringType)
     rows = (
-        docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+        docs.select(F.col(id_col).cast("string" if text_ids else "long").alias("k"), F.col(text_col).cast("string").alias("t"))
         .withColumn("tie", F.xxhash64("t"))
         .withColumn("row", F.monotonically_increasing_id())
         .repartitionByRange(shards, F.col("k").asc_nulls_first(), "tie", "row")
@@ -261,7 +267,7 @@ def write_tables(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
     made = rows.mapInArrow(write, "partition int, number int, file string, entries long, ids long").collect()
     start, manifest = 0, []
     for r in sorted(made, key=lambda r: (r.partition, r.number)):
-        manifest.append({"file": r.file, "start": start, "entries": r.entries, "ids": r.ids})
+        manifest.append({"file": r.file, "start": start, "entries": r.entries, "ids": r.ids, "keys": "string" if text_ids else "long"})
         start += r.ids
     store, root = _store(to)
     with store.open_output_stream(f"{root}/manifest.json") as f:
@@ -275,6 +281,7 @@ def read_tables(spark: SparkSession, at: str) -> DataFrame:
     store, root = _store(at)
     with store.open_input_file(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
+    kind = manifest[0]["keys"] if manifest else "long"
     names = spark.createDataFrame([(m["file"], m["start"]) for m in manifest], "file string, base long")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,13 +293,13 @@ def read_tables(spark: SparkSession, at: str) -> DataFrame:
                     for doc_id, start, ids in TableReader(f):
                         out.append((doc_id, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), name))
                         if len(out) >= 20_000:
-                            yield _frame(out)
+                            yield _frame(out, kind)
                             out = []
-                yield _frame(out)
+                yield _frame(out, kind)
 
-    return names.repartition(max(1, min(len(manifest), scan_parallelism(spark)))).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return names.repartition(max(1, min(len(manifest), scan_parallelism(spark)))).mapInPandas(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, shard string")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
+def _frame(rows: list[tuple], kind: str) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
-    return out.astype({"doc_id": "Int64", "start": "int64", "n_tokens": "int64", "ids_crc32": "int64", "shard": object})
+    return out.astype({"doc_id": "Int64" if kind == "long" else object, "start": "int64", "n_tokens": "int64", "ids_crc32": "int64", "shard": object})
