@@ -146,3 +146,25 @@ def test_thresholds_follow_the_pigeonhole_sum():
         for _ in range(300):
             e = set(rng.choice(64, 3, replace=False).tolist())
             assert any(len(e & set(part)) <= t for part, t in plan)
+
+
+def test_no_column_is_lost(spark, sf):
+    """Columns with the names of internal ones come back as they were, and identifiers may be texts."""
+    from triagelake.llm import benchmark_leaks, repeated_passages, similar_texts, toxic_passages
+
+    names = ["key", "id", "sha", "rows", "__key", "__id", "__toxicity", "__block_leaks_0", "runs", "items", "f", "bands", "size"]
+    rows = [(f"d{i}", t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["same text of some words here"] * 3 + ["x" * 900, "x" * 900, None, "", "another text of other words"])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    whole = lambda df: sorted(map(tuple, df.collect()), key=str)
+    firsts = [r for r in rows if r[0] in ("d0", "d3", "d5", "d7")]
+    assert whole(near.keep_first(docs)) == sorted(firsts, key=str) and near.keep_first(docs).columns == docs.columns
+    assert whole(similar_texts.keep_first_similar(docs)) == sorted(firsts, key=str)
+    labels = spark.createDataFrame([], "doc_id string, toxic int")
+    assert whole(toxic_passages.drop_toxic(docs, labels)) == sorted(rows, key=str)
+    items = spark.createDataFrame([("i", "some words here"), (None, "other words"), ("", "text of other words")], "item_id string, text string")
+    for block in (1 << 20, 20):
+        found = benchmark_leaks.benchmark_leaks(docs, items, block_bytes=block)
+        assert found.columns == [*docs.columns, "leaks"] and whole(found.drop("leaks")) == sorted(rows, key=str)
+        assert {r.doc_id: (r.leaks.n_words, r.leaks.n_hit, r.leaks.n_items) for r in found.collect()} == {"d0": (6, 3, 1), "d1": (6, 3, 1), "d2": (6, 3, 1), "d3": (1, 0, 0), "d4": (1, 0, 0), "d5": (0, 0, 0), "d6": (0, 0, 0), "d7": (5, 4, 2)}
+    gone = {r.doc_id: r.n_removed for r in repeated_passages.remove_repeats(docs).collect()}
+    assert gone == {**{f"d{i}": 0 for i in range(8)}, "d3": 900, "d4": 900}

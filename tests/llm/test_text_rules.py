@@ -189,7 +189,9 @@ def test_formats_stay_valid():
     assert ps._iban("GB82 WEST 1234 5698 7654 32", KEY) and ps._iban("GB82 WEST 1234 5698 7654 33", KEY) is None
     new = ps._iban("GB82WEST12345698765432", KEY)
     assert ps._iban(new, KEY) and new[:2] == "GB" and new[4:8].isalpha()
-    assert ps._email("Ana.Diaz+7@x.org", KEY).endswith("@x.org")
+    new = ps._email("Ana.Diaz+7@mail.x.org", KEY)
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{3}\+\d@[a-z]{4}\.[a-z]\.org", new) and not new.endswith(".x.org")
+    assert ps._email("Bo@mail.x.org", KEY).partition("@")[2] == new.partition("@")[2]  # one host, one pseudonym
 
 
 def test_values_are_found_whole_and_linked():
@@ -232,6 +234,94 @@ def test_pseudonyms_of_the_table(spark, sf):
 
 
 def test_pseudonyms_odd(odd, no_rows):
-    out = ps.pseudonymise(odd)
+    out = ps.pseudonymise(odd, "key")
     assert out.columns == odd.columns and Counter((r.doc_id, r.text) for r in out.collect()) == Counter(ODD)
-    assert ps.pseudonymise(no_rows).collect() == []
+    assert ps.pseudonymise(no_rows, "key").collect() == []
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 97, 256, 1000])
+def test_no_value_stays_itself(n):
+    out = [ps.permute(x, n, KEY, "t") for x in range(n)]
+    assert sorted(out) == list(range(n)) and all(x != y for x, y in enumerate(out))
+    assert [ps.feistel(ps.feistel(x, n, KEY, "t"), n, KEY, "t", back=True) for x in range(n)] == list(range(n))
+    assert ps.permute(0, 1, KEY, "t") == 0
+
+
+def test_many_values_of_one_text():
+    """Values are found as by trying each match against all that were taken."""
+    rng = random.Random(3)
+    kinds = ["10.0.0.{}", "4111111111111111", "2020-01-{:02d}", "a{}@b.org", "+1 (017) 555-77{:02d}", "word"]
+    text = " ".join(rng.choice(kinds).format(rng.randint(10, 28)) for _ in range(600))
+    taken = []
+    for kind, pattern, _, make in ps._COMPILED:
+        for m in pattern.finditer(text):
+            if all(m.end() <= a or b <= m.start() for a, b, *_ in taken) and make(m[0], KEY) is not None:
+                taken.append((m.start(), m.end(), kind, make(m[0], KEY)))
+    assert ps.find(text, KEY) == sorted(taken) and len(taken) > 400
+
+
+def test_log_odds_equal_their_definition(spark):
+    """The classifier's scores from the training rows, feature by feature."""
+    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), labels_of(spark, BIG)
+    train = [(r.text, r.toxic) for r in tp.training_rows(docs, labels).collect()]
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    assert len(train) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in known)
+    counts = {}
+    for text, toxic in train:
+        here = Counter()
+        for w, n in Counter(tp.words(text)).items():
+            n = min(n, tp.PER_TEXT)
+            here[""] += n
+            for f in tp.features(w):
+                here[f] += n
+        for f, n in here.items():
+            counts.setdefault(f, [0, 0])[toxic] += min(n, tp.PER_TEXT) if f else n
+    n0, n1 = counts.pop("")
+    weight = tp.PRIOR * (n0 + n1)
+    want = {}
+    for f, (c, t) in counts.items():
+        prior = tp.PRIOR * (c + t)
+        a, b = t + prior, c + prior
+        odds = np.log(a / (n1 + weight - a)) - np.log(b / (n0 + weight - b))
+        if abs(z := odds / np.sqrt(1 / a + 1 / b)) >= tp.SIGNIFICANT_Z:
+            want[f] = (z, odds)
+    model = tp.fit(docs, labels)
+    assert len(want) <= tp.FEATURES and model.scores.keys() == want.keys()
+    assert all(np.allclose(model.scores[f], want[f]) for f in want)
+    # and every score of the query follows from the best segments by their definition
+    rows = {r.doc_id: r.score for r in tp.score_toxicity(docs.where("doc_id < 150 and n_chars < 900"), labels).collect()}
+    again = tp.fit(docs.where("doc_id < 150 and n_chars < 900"), labels)
+    for r in docs.where("doc_id < 150 and n_chars < 900").collect():
+        seq = tp.words(r.text)
+        shift = again.log_k + np.log(max(len(seq), 1))
+        found = sorted(((again.scale * s - shift, a, b) for s, a, b in brute_segments([again.word_score(w) for w in seq])), reverse=True)
+        assert rows[r.doc_id] == pytest.approx(again.score(again.evidence(found)), abs=1e-4)
+
+
+def test_verdicts_of_the_whole_table(spark, sf):
+    """Every row's ratio, threshold and verdict by plain loops over words."""
+    import xxhash
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {r.doc_id: r.quality > 0 for r in labels_of(spark, sf).collect()}
+    mix, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def buckets(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in text.encode().split()]
+        two = [((((x * mix) & mask) ^ ((y + mix) & mask)) * mix) & mask for x, y in zip(h, h[1:])]
+        return [x >> 48 for x in h + two]
+
+    grams = {i: buckets(t) for i, t in docs.items()}
+    raw, target = Counter(x for g in grams.values() for x in g), Counter(x for i, g in grams.items() if good.get(i) for x in g)
+    n, m = sum(raw.values()), sum(target.values())
+    ratio = lambda x: np.float32(np.log((target[x] + 1) / (m + qr.BUCKETS)) - np.log((raw[x] + 1) / (n + qr.BUCKETS)))
+    value = {i: round(float(np.sum([ratio(x) for x in g], dtype=float)) / max(len(g), 1), 6) for i, g in grams.items()}
+    known = [i for i in docs if i in good]
+    threshold = qr.best_threshold(np.array([value[i] for i in known]), np.array([good[i] for i in known]))
+    rows = queries()["op7_quality_ratio"](spark, sf).collect()
+    assert list(rows[0].asDict())[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.log_ratio == pytest.approx(value[r.doc_id], abs=2e-6)
+        if abs(value[r.doc_id] - threshold) > 1e-5:
+            assert r.kept == (not r.base_failed and value[r.doc_id] >= threshold)

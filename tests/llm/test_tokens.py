@@ -158,3 +158,18 @@ def test_a_damaged_block_is_noticed(tmp_path):
     open(at, "wb").write(data)
     with local.open_input_file(at) as f, pytest.raises(ValueError):
         list(sorted_tables.TableReader(f))
+
+
+def test_shards_of_text_identifiers(spark):
+    rows = [("b", "one two"), ("a", "three"), (None, "none"), ("é", ""), ("b", "four five six"), ("", None)]
+    at = shared_path(spark, "text-ids")
+    sorted_tables.write_tables(spark.createDataFrame(rows, "doc_id string, text string"), at, shards=2)
+    got = sorted_tables.read_tables(spark, at).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, "", "a", "b", "b", "é"]
+    assert [r.start for r in got] == list(np.cumsum([0, *[r.n_tokens for r in got]])[:-1]) and sum(r.n_tokens for r in got) == len(got) + 7
+
+
+def test_ids_of_a_table(spark, odd):
+    tok = library("word_bpe_49k.json")
+    got = {(r.doc_id, tuple(r.ids)) for r in pair_bpe.bpe_ids(odd).collect()}
+    assert got == {(i, tuple(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD}

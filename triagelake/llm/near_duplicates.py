@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, give_back, scan_parallelism, text_or_empty
+from .common import cut, give_back, own, scan_parallelism, text_or_empty
 from .components import components
 
 RADIUS = 3
@@ -30,6 +30,15 @@ PROBE_COST = 50
 SMALL = 24
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if it is set in over half of them."""
+    h = np.ascontiguousarray(h, "<u8")
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def _fingerprint(text: str) -> int:
     import xxhash
 
@@ -38,16 +47,13 @@ def _fingerprint(text: str) -> int:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
     grams = zip(w, w[1:], w[2:]) if len(w) > 2 else [w]
-    h = np.array([digest(join(g), 42) for g in grams], "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(join(g), 42) for g in grams], "<u8"))
 
 
 @F.pandas_udf(T.LongType())
 def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """SimHash of the whole text's 3-word shingles, as a signed long; null and wordless texts have 0."""
+    """SimHash of the whole text's 3-word shingles, as a signed long; null and wordless texts have 0. A value for
+    each row, repeats included: equal texts have equal ones."""
     for texts in batches:
         yield pd.Series(np.array([_fingerprint(t) if t else 0 for t in texts], np.uint64).view(np.int64))
     give_back()
@@ -245,12 +251,14 @@ def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
     keys = found.groupBy("component", "doc_id", "sha").agg(F.count("*").alias("rows"))
     least = cut(keys.groupBy("component").agg(F.min_by("rows", one).alias("rows"), F.min(one).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.sha").alias("__sha"), "rows"))
-    marked = docs.withColumn("__key", F.unhex(F.sha2(text_or_empty(text_col), 256)))
-    same = marked[id_col].eqNullSafe(least["__id"]) & (marked["__key"] == least["__sha"])
-    stay = marked.join(least.where("rows = 1"), same, "left_semi")
-    if least.where("rows > 1").limit(1).count():  # the same row again and again
-        stay = stay.unionByName(marked.join(least.where("rows > 1"), same, "left_semi").dropDuplicates([id_col, "__key"]))
-    return stay.drop("__key")
+    key, id_, sha, rows = own(docs, "key", "id", "sha", "rows")
+    marked = docs.withColumn(key, F.unhex(F.sha2(text_or_empty(text_col), 256)))
+    least = least.select(F.col("__id").alias(id_), F.col("__sha").alias(sha), F.col("rows").alias(rows))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(sha))
+    stay = marked.join(least.where(F.col(rows) == 1), same, "left_semi")
+    if least.where(F.col(rows) > 1).limit(1).count():  # the same row again and again
+        stay = stay.unionByName(marked.join(least.where(F.col(rows) > 1), same, "left_semi").dropDuplicates([id_col, key]))
+    return stay.drop(key)
 
 
 __all__ = ["allocate", "keep_first", "keep_least", "near_duplicates", "simhash"]

@@ -303,6 +303,13 @@ def bpe_decode(ids: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     return decode(ids)
 
 
+def bpe_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    """One row for each row of docs, repeats included: its identifier, n_tokens, and ids as an array of ints
+    (empty for null and empty texts). Other columns are left out."""
+    coded = docs.select(F.col(id_col).alias("k"), bpe_encode(F.col(text_col), vocabulary).alias("ids"))
+    return coded.select(F.col("k").alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
 def bpe_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """One row for each row of docs, repeats included: its identifier (of any type, null too), n_tokens,
     ids_sha256, decoded_sha256. Other columns are left out, so their names clash with nothing; a table

@@ -1,8 +1,9 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles.
 
-Texts are sketched by MinHash; those that agree in a band of the sketch are candidates, and candidates
-are verified on their whole shingle sets before they are linked. Texts of the same shingle set are one
-node whatever their number.
+Candidates are what the SimHash search of near_duplicates finds among fingerprints of five-word shingles, and
+verified on their whole shingle sets before they are linked. At a similarity of 0.8 two fingerprints differ in
+some 10 of 64 bits, far beyond any radius that partitions can search; so texts that agree in a band of a
+MinHash sketch are candidates, too. Texts of the same shingle set are one node whatever their number.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from .common import cut, give_back, scan_parallelism, text_or_empty
 from .components import components
-from .near_duplicates import keep_least
+from .near_duplicates import RADIUS, fingerprint_links, keep_least, majority
 from .quality_ratio import sieved
 
 WORDS = 5
@@ -29,7 +30,7 @@ BLOCK_BYTES = 16 << 20
 _RNG = np.random.default_rng(20)
 _ADD, _MUL = _RNG.integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _MUL = _MUL | np.uint64(1)
-SKETCH = T.StructType([T.StructField("f", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("f", T.LongType()), T.StructField("size", T.LongType()), T.StructField("simhash", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def shingles(text: str) -> np.ndarray:
@@ -43,7 +44,7 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.array([digest(join(w[i : i + WORDS])) for i in range(max(len(w) - WORDS + 1, 1))], np.uint64))
 
 
-def _sketch(text: str) -> tuple[int, int, list[int]]:
+def _sketch(text: str) -> tuple[int, int, int, list[int]]:
     import xxhash
 
     s = shingles(text)
@@ -51,13 +52,13 @@ def _sketch(text: str) -> tuple[int, int, list[int]]:
     for at in range(0, len(s), 4096):
         low = np.minimum(low, ((s[at : at + 4096] ^ _ADD) * _MUL).min(axis=1))
     bands = [xxhash.xxh3_64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    f, *bands = np.array([xxhash.xxh3_64_intdigest(s.tobytes()), *bands], np.uint64).view(np.int64).tolist()
-    return f, len(s), bands
+    f, h, *bands = np.array([xxhash.xxh3_64_intdigest(s.tobytes()), majority(s), *bands], np.uint64).view(np.int64).tolist()
+    return f, len(s), h, bands
 
 
 @F.pandas_udf(SKETCH)
 def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """f (a digest of the shingle set), its size, and the values of the MinHash bands."""
+    """f (a digest of the shingle set), its size, its SimHash, and the values of the MinHash bands."""
     for texts in batches:
         yield pd.DataFrame([_sketch(t) for t in texts], columns=SKETCH.names)
     give_back()
@@ -96,10 +97,22 @@ def similar_links(f: np.ndarray, sets: list[bytes], similarity: float) -> list[t
     return out
 
 
+def _simhash_keys(nodes: DataFrame) -> DataFrame:
+    """(f, sha, size, key): nodes with one fingerprint meet under it; fingerprints within the radius meet, a node
+    for each, under a key of their own."""
+    some = nodes.where("size > 0").select("f", "sha", "size", "simhash")
+    same = some.select("f", "sha", "size", F.xxhash64(F.lit("same"), "simhash").alias("key"))
+    one = cut(some.groupBy("simhash").agg(F.min(F.struct("f", "sha", "size")).alias("s")).select("simhash", "s.*"))
+    pairs = cut(fingerprint_links(one.select(F.col("simhash").alias("f")), RADIUS).distinct())
+    ends = F.explode(F.array("a", "b")).alias("simhash")
+    near = pairs.select(F.xxhash64(F.lit("near"), "a", "b").alias("key"), ends).join(one, "simhash")
+    return same.unionByName(near.select("f", "sha", "size", "key"))
+
+
 def _candidate_links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Verified links between nodes (f, sha, size, bands). docs: __doc (sha) and text."""
+    """Verified links between nodes (f, sha, size, simhash, bands). docs: __doc (sha) and text."""
     spark = docs.sparkSession
-    keyed = nodes.select("f", "sha", "size", F.explode("bands").alias("key"))
+    keyed = nodes.select("f", "sha", "size", F.explode("bands").alias("key")).unionByName(_simhash_keys(nodes))
     meet = keyed.groupBy("key").agg(F.count("*").alias("n"), F.ceil(8 * F.sum("size") / BLOCK_BYTES).cast("int").alias("blocks")).where("n > 1 and blocks > 0")
     rows = cut(keyed.join(meet, "key").select("f", "sha", "key", "blocks"))
     wanted = cut(rows.groupBy(F.col("sha").alias("__id")).agg(F.first("f").alias("f")))
@@ -140,14 +153,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = text_or_empty(text_col)
     sha = F.unhex(F.sha2(text, 256))
     base = cut(docs.select(F.col(id_col).alias("doc_id"), sha.alias("sha"), sketch(text).alias("s")).select("doc_id", "sha", "s.*"))
-    nodes = cut(base.groupBy("f").agg(F.min(F.struct("sha", "size", "bands")).alias("s")).select("f", "s.*"))
+    nodes = cut(base.groupBy("f").agg(F.min(F.struct("sha", "size", "simhash", "bands")).alias("s")).select("f", "s.*"))
     found = components(_candidate_links(docs.select(sha.alias("__doc"), text.alias("text")), nodes, similarity))
     # nodes without links are their own components; copies of a node meet found's one row in a split join
     return base.join(found.withColumnRenamed("node", "f"), "f", "left").select("doc_id", "sha", F.coalesce("component", "f").alias("component"))
 
 
 def keep_first_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each component of similar texts: that which keep_first takes."""
+    """docs with one row of each component of similar texts: that which keep_first takes. Columns stay as they
+    are, whatever their names; repeated rows are one, null and wordless texts one component; an empty table
+    stays empty."""
     return keep_least(docs, similar_texts(docs, id_col, text_col, similarity), id_col, text_col)
 
 
