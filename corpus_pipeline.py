@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm import benchmark_leaks, pair_bpe, pseudonyms, similar_texts, toxic_passages
-from triagelake.llm.common import bound_batches, shared_path, table
+from triagelake.llm.common import bound_batches, discard, shared_path, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays: SimHash (and, where its radius ends, MinHash) of
+    five-word shingles proposes, a similarity of 0.8 or more of the whole texts decides."""
     bound_batches(spark)
     return similar_texts.keep_first_similar(docs)
 
@@ -27,15 +28,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes pseudonyms."""
+    """Personal data becomes pseudonyms, under the key that the session names in spark.pseudonyms.key."""
     bound_batches(spark)
-    return pseudonyms.pseudonymise(docs)
+    return pseudonyms.pseudonymise(docs, spark.conf.get("spark.pseudonyms.key", pseudonyms.EXAMPLE_KEY))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids' digests of what is left."""
+    """Token ids of what is left."""
     bound_batches(spark)
-    return pair_bpe.bpe_table(docs)
+    return pair_bpe.bpe_ids(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("encode", encode)]
@@ -44,9 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows, read from the files it wrote; the other stages' files go when the next ones stand."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            discard(spark, before)
+        before = at
     return docs
