@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import lazy as F
 
-from .operators import attachments, board, decider, policy, records
-from .schemas import ANSWERS, Shop
+from .functions import text
+from .operators import attachments, board, decider, layout, policy, records, uploads
+from .operators import messages as intake
+from .schemas import ANSWERS, EMAIL_TYPE_LABELS, VOLUME_LABELS, Shop
 
 
 class Engine:
@@ -53,21 +56,57 @@ class Engine:
         rows = [(i, x.id, x.name, x.owner, x.role, g) for i, (x, g) in enumerate(self.shop.lanes())]
         return self.spark.createDataFrame(rows, "ord int, id string, name string, owner string, role string, group string")
 
-    def questions(self) -> DataFrame:
-        """The question set: name, type and options in order. A live model gets texts from the shop's lanes."""
-        from .schemas import EMAIL_TYPE_LABELS, VOLUME_LABELS
-
+    def asked(self) -> list[dict]:
+        """The eight questions, in order: name, type, what is asked, and the options (key, text). The lanes of
+        the shop make the options of `process`."""
         yes_no = [("true", "Yes"), ("false", "No")]
-        process = [(x.id, x.description or x.name) for x in self.shop.estimating] + [("mixed_or_unclear", "Another process, or too little detail")]
+        process = [(x.id, x.description or x.name) for x in self.shop.estimating] + [(policy.MIXED, "Another process, several of them, or too little detail to tell")]
         urgency = [("0", "No deadline"), ("1", "A week or more"), ("2", "A few days"), ("3", "Emergency")]
         rows = [
-            ("email_type", "choice", list(EMAIL_TYPE_LABELS.items())),
-            ("process", "choice", process),
-            ("export_controlled", "noul", yes_no),
-            ("urgency", "score", urgency),
-            ("quantity_given", "noul", yes_no),
-            ("drawings_provided", "noul", yes_no),
-            ("outside_processing", "noul", yes_no),
-            ("volume", "choice", list(VOLUME_LABELS.items())),
+            ("email_type", "choice", "What kind of email is this?", list(EMAIL_TYPE_LABELS.items())),
+            ("process", "choice", "Which process makes most of the parts?", process),
+            ("export_controlled", "noul", "Does the email or a file hold export-controlled technical data?", yes_no),
+            ("urgency", "score", "How soon does the sender need an answer or parts?", urgency),
+            ("quantity_given", "noul", "Does the email or a file state a quantity?", yes_no),
+            ("drawings_provided", "noul", "Are drawings or models of the parts attached?", yes_no),
+            ("outside_processing", "noul", "Do the parts need a finish or another process outside the shop?", yes_no),
+            ("volume", "choice", "How many parts are asked for?", list(VOLUME_LABELS.items())),
         ]
-        return self.spark.createDataFrame(rows, "name string, type string, options array<struct<key:string,text:string>>")
+        return [{"name": n, "type": t, "instructions": i, "options": [{"key": k, "text": x} for k, x in o]} for n, t, i, o in rows]
+
+    def questions(self) -> DataFrame:
+        rows = [(q["name"], q["type"], q["instructions"], [(o["key"], o["text"]) for o in q["options"]]) for q in self.asked()]
+        return self.spark.createDataFrame(rows, "name string, type string, instructions string, options array<struct<key:string,text:string>>")
+
+    def bootstrap(self, messages: DataFrame, store: DataFrame | None = None) -> DataFrame:
+        """Everything a client starts from, as (part, ord, value): JSON of each lane, customer, question,
+        threshold, limit of uploads, and message (ord; attachments described, not raw)."""
+        spark, shop = self.spark, self.shop
+        limits = {"max_files": uploads.MOST_UPLOADS, "max_bytes": uploads.MOST_BYTES, "types": uploads.accepted_types()}
+        small = [("lane", i, {"id": x.id, "name": x.name, "owner": x.owner, "role": x.role, "group": g}) for i, (x, g) in enumerate(shop.lanes())]
+        small += [("customer", i, dict(zip(("domain", "name", "tier", "account_manager"), c))) for i, c in enumerate(shop.customers)]
+        small += [("question", i, q) for i, q in enumerate(self.asked())] + [("threshold", i, {"name": k, "value": v}) for i, (k, v) in enumerate(shop.bars().items())] + [("uploads", 0, limits)]
+        fixed = spark.createDataFrame([(p, i, json.dumps(v, ensure_ascii=False, separators=(",", ":"))) for p, i, v in small], "part string, ord long, value string")
+        shown = intake.public(messages, store)
+        return fixed.unionByName(shown.select(F.lit("message").alias("part"), F.col("ord").cast("long").alias("ord"), F.to_json(F.struct(*[c for c in shown.columns if c != "ord"])).alias("value")))
+
+    def check(self, messages: DataFrame) -> DataFrame:
+        """The first message through the whole question set: each probability with its bar, one row an option."""
+        first = self.answers(self.state(messages.orderBy("ord", "id").limit(1)))
+        options = [(q["name"], [o["key"] for o in q["options"]]) for q in self.asked()]
+        a = F.col("answers")
+        rows = []
+        for i, (name, keys) in enumerate(options):
+            kind = "noul" if "true" in keys else "probabilities"
+            probs = F.array(F.struct(F.lit("true").alias("key"), a[name]["p"].alias("p"))) if kind == "noul" else a[name]["probabilities"]
+            rows.append(F.transform(probs, lambda e, k, i=i, name=name: F.struct(F.lit(i).alias("ord"), F.lit(name).alias("question"), k.alias("pos"), e["key"].alias("key"), e["p"].alias("p"))))
+        out = first.select(F.explode(F.concat(*rows)).alias("r")).select("r.*")
+        return out.withColumn("bar", text.bar(F.col("p")))
+
+    def remembered_files(self, attachments: DataFrame, id_cols: list[str]) -> DataFrame:
+        """attachments (id_cols, a) with the derived file of each (content, media, thumb, pages, error): a
+        specification that occurs many times is drawn once. Specifications are told apart by digest."""
+        key = F.sha2(F.to_json(F.col("a")), 256)
+        specs = attachments.select(key.alias("spec"), "a").dropDuplicates(["spec"])
+        made = specs.select("spec", layout.derived(F.col("a")).alias("file"))
+        return attachments.withColumn("spec", key).join(made, "spec").select(*id_cols, "a", "file.*")

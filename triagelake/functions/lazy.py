@@ -209,7 +209,7 @@ def _higher_order(name: str):
         if None not in texts and not kwargs:
             parts = []
             for f in args[len(plain) :]:
-                given = [Text(f"x{next(_names)}") for _ in inspect.signature(f).parameters.values()]
+                given = [Text(f"x{next(_names)}") for p in inspect.signature(f).parameters.values() if p.default is p.empty]
                 body = _of(f(*given))
                 if body is None:
                     break

@@ -68,6 +68,14 @@ def versioned(versions: DataFrame) -> DataFrame:
     return marked.where(F.col("before").isNull() | (F.col("before") != F.col("sig"))).groupBy("id").agg(F.max("version").alias("changed_at"))
 
 
+def since_of(text: str | int | None) -> int | None:
+    """A client's version as it sends it; None for what is no whole number."""
+    try:
+        return int(text) if text is not None and str(text).strip() else None
+    except ValueError:
+        return None
+
+
 def is_full(version: int, since: int | None, same_boot: bool = True) -> bool:
     """Whether a client gets everything: its version is missing, negative, ahead, or of another run."""
     return since is None or since < 0 or since > version or not same_boot

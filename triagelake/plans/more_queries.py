@@ -10,7 +10,7 @@ from ..functions import metrics
 from ..functions import text as tx
 from ..operators import attachments as att
 from ..operators import board, messages, records, runs, uploads
-from ..schemas import Shop
+from ..schemas import ATTACHMENT, Shop
 from ..sources import client
 from .bridge import SHOP, attachment, inbox, table
 
@@ -249,8 +249,28 @@ def file_status(spark, sf):
     return table(spark, sf, "part").select("p_partkey", runs.status_of(k % 11 != 0, kind, F.when(k % 13 == 0, F.lit("x")), k % 2 == 0).alias("status"))
 
 
+def bootstrap(spark, sf):
+    """What a client starts from, with every order as a message."""
+    o = table(spark, sf, "orders")
+    m = o.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("subject"), F.array().cast(f"array<{ATTACHMENT}>").alias("attachments"))
+    return Engine(spark, Shop()).bootstrap(m).where("part <> 'question'")
+
+
+def first_answers(spark, sf):
+    """The check of the first message: every option with its probability and bar."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.lit("A").alias("from_name"), F.lit("a@b.c").alias("from_email"), F.lit("Quote for 500 pcs").alias("subject"), F.lit("Please quote 500 pcs of the anodized shaft, ITAR, urgent.").alias("body"), F.array().cast(f"array<{ATTACHMENT}>").alias("attachments"))
+    return Engine(spark, Shop()).check(d).select("ord", "question", "pos", "key", "p", "bar")
+
+
+def files_once(spark, sf):
+    """Every part's drawing file, where one in fifty specifications is drawn."""
+    p = table(spark, sf, "part").select("p_partkey", attachment(name=F.lit("d.pdf"), kind=F.lit("drawing"), shape=F.lit("ring"), size=F.array((F.col("p_size") % 50).cast("double")), title=F.lit("T")).alias("a"))
+    made = Engine(spark, Shop()).remembered_files(p, ["p_partkey"])
+    return made.select("p_partkey", "media", "pages", (F.length("content") > 1000).alias("drawn"), "error")
+
+
 QUERIES = (
-    run_split, run_request, board_delta, board_state, board_entry, board_json, board_counters, memo_misses, normal_records, normal_responses, error_records, key_hints, known_requests,
+    bootstrap, first_answers, files_once, run_split, run_request, board_delta, board_state, board_entry, board_json, board_counters, memo_misses, normal_records, normal_responses, error_records, key_hints, known_requests,
     cache_upsert, cache_export, cache_key, saved_answers, posted_messages, new_message_ids, sent_text, attachment_texts, claimed_uploads, store_bytes, text_widths, lane_dimension, question_options,
     bars, state_files, file_status,
 )

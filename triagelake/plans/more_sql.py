@@ -18,7 +18,20 @@ TEXT_OF = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '^[\s\x0b\x1
 
 
 def more_sql() -> dict[str, str]:
+    bar = "repeat('#', round_even(p*20, 0)::INT) || repeat('.', 20 - round_even(p*20, 0)::INT)"
     return {
+        "bootstrap": """SELECT 'message' AS part, o_orderkey AS ord, '{"id":"E' || o_orderkey || '","subject":"' || o_orderpriority || '","attachments":[]}' AS value FROM orders
+          UNION ALL SELECT * FROM (VALUES ('lane', 0, '{"id":"milling_3axis","name":"3-Axis Milling","owner":"Ana Estimator","role":"Estimator","group":"estimating"}'), ('lane', 1, '{"id":"milling_5axis","name":"5-Axis & Complex","owner":"Ben Estimator","role":"Senior Estimator","group":"estimating"}'),
+            ('lane', 2, '{"id":"turning","name":"Turning & Swiss","owner":"Cem Estimator","role":"Estimator","group":"estimating"}'), ('lane', 3, '{"id":"itar","name":"ITAR / CUI Restricted","owner":"Dana Restricted","role":"Export-controlled quoting, U.S. persons only","group":"estimating"}'),
+            ('lane', 4, '{"id":"orders","name":"Orders & Customer Service","owner":"Eli Service","role":"Customer Service","group":"other"}'), ('lane', 5, '{"id":"review","name":"Needs Human Review","owner":"Fay Reviewer","role":"Quoting Manager","group":"other"}'),
+            ('lane', 6, '{"id":"filtered","name":"Filtered: Not Customer Work","owner":"Auto-archive","role":"No reply","group":"other"}'), ('uploads', 0, '{"max_files":5,"max_bytes":10485760,"types":["application/pdf","image/jpeg","image/png"]}'))
+          UNION ALL SELECT 'threshold', i, '{"name":"' || n || '","value":' || v || '}' FROM (VALUES (0, 'email_type_confidence', '0.5'), (1, 'process_confidence', '0.5'), (2, 'export_control_restrict', '0.5'), (3, 'itar_exempt_confidence', '0.8'), (4, 'export_control_warn', '0.2'), (5, 'rush_score', '2.3'),
+            (6, 'soon_score', '1.5'), (7, 'quantity_given', '0.5'), (8, 'drawings_provided', '0.5'), (9, 'outside_processing', '0.6'), (10, 'volume_confidence', '0.35')) AS t(i, n, v)""",
+        "first_answers": f"""WITH a(ord, question, pos, key, p) AS (VALUES (0, 'email_type', 0, 'new_rfq', 0.82::DOUBLE), (0, 'email_type', 1, 'quote_revision', 0.036), (0, 'email_type', 2, 'purchase_order', 0.036), (0, 'email_type', 3, 'order_followup', 0.036), (0, 'email_type', 4, 'vendor_or_solicitation', 0.036), (0, 'email_type', 5, 'other', 0.036),
+            (1, 'process', 0, 'turning', 0.78), (1, 'process', 1, 'milling_3axis', 0.0733), (1, 'process', 2, 'milling_5axis', 0.0733), (1, 'process', 3, 'mixed_or_unclear', 0.0733), (2, 'export_controlled', 0, 'true', 0.92), (3, 'urgency', 0, '0', 0.08), (3, 'urgency', 1, '1', 0.08), (3, 'urgency', 2, '2', 0.08), (3, 'urgency', 3, '3', 0.76),
+            (4, 'quantity_given', 0, 'true', 0.88), (5, 'drawings_provided', 0, 'true', 0.15), (6, 'outside_processing', 0, 'true', 0.85), (7, 'volume', 0, 'production', 0.7), (7, 'volume', 1, 'prototype', 0.1), (7, 'volume', 2, 'low_volume', 0.1), (7, 'volume', 3, 'not_stated', 0.1))
+          SELECT ord, question, pos, key, p, {bar} AS bar FROM a""",
+        "files_once": "SELECT p_partkey, 'application/pdf' AS media, 1::INT AS pages, true AS drawn, NULL::VARCHAR AS error FROM part",
         "run_split": """WITH a AS (SELECT o_orderkey::VARCHAR AS id, o_orderkey AS k, o_orderkey%1000 AS n, (['idle','queued','running','done','error'])[o_orderkey%5+1] AS status FROM orders)
           SELECT id, CASE WHEN status='queued' OR (status='running' AND k%2<>0) THEN 'skip' WHEN status='running' THEN 'again' WHEN k%7<>0 AND n IN (SELECT c_custkey FROM customer WHERE c_custkey < 500) THEN 'cached' ELSE 'queued' END AS outcome FROM a""",
         "run_request": """WITH a AS (SELECT o_orderkey AS k, o_orderkey%5000 IN (SELECT c_custkey FROM customer) AS saved FROM orders)

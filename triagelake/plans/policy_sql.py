@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from ..schemas import EMAIL_TYPE_LABELS, THRESHOLDS, VOLUME_LABELS
-from .bridge import SHOP, TIERS, TODAY
+from .sql_values import BARS, EMAIL_TYPES, LANES, MODEL_NAME, PROCESS_LABELS, REVIEWER, SHOP_NAME, TIERS, TODAY, VOLUMES
 
 
 def _array(values: list[str]) -> str:
@@ -38,15 +37,14 @@ def _stats(w: str, n: int) -> str:
 
 def decision_cte(bars: dict[str, float] | None = None) -> str:
     """WITH ... d AS (one row a message, with everything the policy says)."""
-    th = {**THRESHOLDS, **(bars or {})}
+    th = {**BARS, **(bars or {})}
     t = {k: f"{v}::DOUBLE" for k, v in th.items()}
-    types, processes, volumes = list(EMAIL_TYPE_LABELS), list(SHOP.process_labels()), list(VOLUME_LABELS)
-    tlab, plab, vlab = _text(EMAIL_TYPE_LABELS.values()), _text(SHOP.process_labels().values()), _text(VOLUME_LABELS.values())
-    lanes = {x.id: x for x, _ in SHOP.lanes()}
-    name_of = "CASE lane " + " ".join(f"WHEN '{k}' THEN '{x.name}'" for k, x in lanes.items()) + " END"
-    owner_of = "CASE lane " + " ".join(f"WHEN '{k}' THEN '{x.owner}'" for k, x in lanes.items()) + " END"
+    types, processes, volumes = list(EMAIL_TYPES), list(PROCESS_LABELS), list(VOLUMES)
+    tlab, plab, vlab = _text(EMAIL_TYPES.values()), _text(PROCESS_LABELS.values()), _text(VOLUMES.values())
+    name_of = "CASE lane " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x, _ in LANES) + " END"
+    owner_of = "CASE lane " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, _, x in LANES) + " END"
     tier = "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN '{v}'" for s, v in TIERS.items()) + " END"
-    model, today = SHOP.model_name, f"DATE '{TODAY}'"
+    model, today = MODEL_NAME, f"DATE '{TODAY}'"
     exempt = max(th["itar_exempt_confidence"], th["email_type_confidence"])
 
     def top(w: str, lab: str) -> str:
@@ -110,8 +108,8 @@ WITH o AS (
 
 
 def trace_sql() -> str:
-    th, model = THRESHOLDS, SHOP.model_name
-    tlab, plab = _text(EMAIL_TYPE_LABELS.values()), _text(SHOP.process_labels().values())
+    th, model = BARS, MODEL_NAME
+    tlab, plab = _text(EMAIL_TYPES.values()), _text(PROCESS_LABELS.values())
     bar = lambda n: f"{round(th[n] * 100)}%"
     where = "CASE WHEN k%10=0 AND ex >= 0.2::DOUBLE THEN ' Export-control wording found in scan' || k || '.pdf.' ELSE '' END"
     together = f"CASE WHEN pairc > etwc THEN ' ' || {tlab}[etw1] || ' and ' || {tlab}[etw2] || ' go to the same place: together ' || {_pct('etwp1 + etwp2')} || ', confidence ' || {_pct('pairc')} || '.' ELSE '' END"
@@ -128,8 +126,8 @@ def trace_sql() -> str:
 
 
 def action_sql() -> str:
-    tlab, plab = _text(EMAIL_TYPE_LABELS.values()), _text(SHOP.process_labels().values())
-    name = SHOP.name
+    tlab, plab = _text(EMAIL_TYPES.values()), _text(PROCESS_LABELS.values())
+    name = SHOP_NAME
     hi = "'Hi ' || CASE WHEN k%4=0 THEN 'there' WHEN k%4=1 THEN 'Ana' ELSE c_name END || ',' || chr(10) || chr(10)"
     received = """CASE WHEN k%8=0 THEN 'your email' ELSE 'your email "Order ' || k || ' ' || o_orderpriority || '"' END"""
     sign, service = f"chr(10) || chr(10) || 'Best,' || chr(10) || '{name} Quoting Team'", f"chr(10) || chr(10) || 'Best,' || chr(10) || '{name} Customer Service Team'"
@@ -140,7 +138,7 @@ def action_sql() -> str:
     title = f"""CASE WHEN lane='filtered' THEN 'Archive. No reply needed.'
       WHEN lane='orders' THEN CASE WHEN et='purchase_order' THEN 'Enter the PO in the ERP and send an order acknowledgment (' || owner || ')' ELSE 'Look up the order in the ERP and reply (' || owner || ')' END
       WHEN lane='itar' THEN CASE WHEN is_rfq OR {order} THEN 'Move to the restricted ITAR folder and notify ' || owner || '. Do not forward attachments outside the controlled environment.' ELSE owner || ' reviews this in the restricted ITAR folder before anyone replies. Do not forward it outside the controlled environment.' END
-      WHEN lane='review' THEN owner || ' ({SHOP.review.role}) confirms where this goes. {SHOP.model_name}''s best guesses: ' || CASE WHEN is_rfq THEN {top('prw', plab)} ELSE {top('etw', tlab)} END || '.'
+      WHEN lane='review' THEN owner || ' ({REVIEWER}) confirms where this goes. {MODEL_NAME}''s best guesses: ' || CASE WHEN is_rfq THEN {top('prw', plab)} ELSE {top('etw', tlab)} END || '.'
       WHEN len(missing) > 0 THEN 'Assign to ' || owner || ' and request the missing information' ELSE 'Assign to ' || owner || ' and send the acknowledgment' END"""
     draft = f"""CASE WHEN lane IN ('filtered','review') THEN NULL
       WHEN lane='orders' THEN CASE WHEN et='purchase_order' THEN {hi} || 'Thanks for the order. We received ' || {received} || ' and ' || {first} || ' is entering it now. We''ll confirm the ship date by end of day.' || {service}

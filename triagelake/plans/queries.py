@@ -256,9 +256,24 @@ def png_sizes(spark, sf):
     return p.select("p_partkey", "s.width", "s.height")
 
 
-def rules_decider(spark, sf):
+#: What is added to the tables' invented prose, so that every rule and lane is met.
+PHRASES = (
+    "", " Please quote 500 pcs of the anodized shaft, due next month.", " RFQ: 25 each of the 5-axis impeller, attached drawing.", " Purchase order 77, please proceed. Need it today.", " What is the status of our order, is it shipped?",
+    " Our services: we are ITAR registered, special pricing.", " ITAR data, see rev b, please revise. Quote by Friday 3.", " Can you make this bracket? 5 / 10 / 20", " Weld and casting work, quote please, urgent.", " Revised model, update quote for the housing, 12 pcs this week.",
+    " CUI, PO attached.", " We offer staffing and hiring.",
+)
+
+
+def _said(spark, sf) -> DataFrame:
+    """Every document's source, and its text with a phrase."""
     d = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
-    state = F.struct(F.concat(F.lit("s"), F.col("source")).alias("subject"), F.coalesce("text", F.lit("")).alias("body"), F.lit("none").alias("attachments"))
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    return d.select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), phrase).alias("text"))
+
+
+def rules_decider(spark, sf):
+    d = _said(spark, sf)
+    state = F.struct(F.concat(F.lit("s"), F.col("source")).alias("subject"), F.col("text").alias("body"), F.lit("none").alias("attachments"))
     a = d.select("doc_id", decider.keyword_answers(state, SHOP).alias("a"))
     return a.select("doc_id", F.col("a.email_type.choice").alias("kind"), F.col("a.process.choice").alias("process"), F.col("a.volume.choice").alias("volume"), "a.urgency.score", F.col("a.export_controlled.p").alias("export_p"), F.col("a.quantity_given.p").alias("quantity_p"))
 
@@ -267,7 +282,7 @@ def routed_documents(spark, sf):
     """From texts to decisions in one plan: rules, policy, lanes."""
     from ..engine import Engine
 
-    d = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    d = _said(spark, sf)
     emails = d.select(F.col("doc_id").alias("id"), F.col("source").alias("from_name"), F.concat("source", F.lit("@x.example.com")).alias("from_email"), F.concat(F.lit("s"), F.col("source")).alias("subject"), F.col("text").alias("body"), F.array().cast(f"array<{att_type()}>").alias("attachments"), F.lit(None).cast("string").alias("expected_lane"))
     return Engine(spark, SHOP).route(emails, bridge.TODAY).groupBy("lane", "priority").agg(F.count("*").alias("n"))
 

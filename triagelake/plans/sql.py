@@ -1,13 +1,10 @@
-"""DuckDB SQL for the queries: written from the rules, apart from the engine."""
+"""DuckDB SQL for the queries: written from the rules, apart from the engine; values are those of sql_values."""
 
 from __future__ import annotations
 
 import re
 
-from ..operators import attachments as att
-from ..operators import decider as dc
-from ..schemas import DOC_TYPE_LABELS, EMAIL_TYPE_LABELS, SLA_DAYS
-from .bridge import SHOP, TIERS
+from . import sql_values as values
 from .more_sql import more_sql
 from .policy_sql import _pct, _text, action_sql, decision_cte, trace_sql
 
@@ -63,8 +60,8 @@ def _lines(*parts: str) -> str:
 
 
 def _messages() -> str:
-    tier = "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN '{v}'" for s, v in TIERS.items()) + " END"
-    name = "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN '{s.title()}'" for s in TIERS) + " END"
+    tier = "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN '{v}'" for s, v in values.TIERS.items()) + " END"
+    name = "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN '{s.title()}'" for s in values.TIERS) + " END"
     return f"m AS (SELECT o_orderkey AS id, o_custkey, c_mktsegment, {tier} AS tier, {name} AS name FROM orders JOIN customer ON o_custkey=c_custkey)"
 
 
@@ -76,35 +73,50 @@ def _has(pattern: str, text: str) -> str:
     return f"regexp_matches({text}, '{pattern}')"
 
 
+SAID = f"said AS (SELECT doc_id, source, coalesce(text, '') || ({_text(values.PHRASES)})[doc_id%{len(values.PHRASES)}+1] AS text FROM documents)"
+
+
 def _rules() -> str:
     body, subject, text = "body", "subject", "whole"
     kind = (
-        f"CASE WHEN {_has(dc.PITCH, body)} THEN 'vendor_or_solicitation' WHEN {_has(dc.PO, body)} AND NOT {_has(dc.ASKS, body)} THEN 'purchase_order' "
-        f"WHEN {_has(dc.QUOTE_SUBJECT, subject)} AND NOT {_has(dc.ORDER_SUBJECT, subject)} THEN CASE WHEN {_has(dc.REVISED_SUBJECT, subject)} THEN 'quote_revision' ELSE 'new_rfq' END "
-        f"WHEN {_has(dc.FOLLOWUP, body)} THEN 'order_followup' WHEN {_has(dc.REVISED, body)} THEN 'quote_revision' WHEN {_has(dc.QUOTE, body)} THEN 'new_rfq' ELSE 'other' END"
+        f"CASE WHEN {_has(values.PITCH, body)} THEN 'vendor_or_solicitation' WHEN {_has(values.PO, body)} AND NOT {_has(values.ASKS, body)} THEN 'purchase_order' "
+        f"WHEN {_has(values.QUOTE_SUBJECT, subject)} AND NOT {_has(values.ORDER_SUBJECT, subject)} THEN CASE WHEN {_has(values.REVISED_SUBJECT, subject)} THEN 'quote_revision' ELSE 'new_rfq' END "
+        f"WHEN {_has(values.FOLLOWUP, body)} THEN 'order_followup' WHEN {_has(values.REVISED, body)} THEN 'quote_revision' WHEN {_has(values.QUOTE, body)} THEN 'new_rfq' ELSE 'other' END"
     )
-    process = "CASE " + " ".join(f"WHEN {_has(p, src)} THEN '{lane}'" for src in (body, text) for lane, p in dc.PROCESSES) + " ELSE 'mixed_or_unclear' END"
-    most = f"list_max(list_transform(regexp_extract_all({text}, '{dc.COUNTED}', 1), lambda x: replace(x, ',', '')::BIGINT))"
-    export = f"CASE WHEN {_has(dc.EXPORT_PITCH[0], text)} AND {_has(dc.EXPORT_PITCH[1], text)} THEN 0.55 WHEN {_has(dc.EXPORT, text)} THEN 0.92 ELSE 0.04 END::DOUBLE"
-    level = f"CASE WHEN {_has(dc.URGENCY[2], body)} THEN 3 WHEN {_has(dc.URGENCY[1], body)} THEN 2 WHEN {_has(dc.URGENCY[0], body)} THEN 1 ELSE 0 END"
-    return f"""WITH s AS (SELECT doc_id, lower('s' || source) AS subject, lower('s' || source || ' ' || coalesce(text, '')) AS body, lower('{{"subject":"s' || source || '","body":"' || coalesce(text, '') || '","attachments":"none"}}') AS whole FROM documents),
-      a AS (SELECT doc_id, {kind} AS kind, {process} AS process, {most} AS most, {level} AS level, {export} AS export_p, CASE WHEN {_has(dc.QUANTITY, text)} THEN 0.88 ELSE 0.12 END::DOUBLE AS quantity_p FROM s)
+    process = "CASE " + " ".join(f"WHEN {_has(p, src)} THEN '{lane}'" for src in (body, text) for lane, p in values.PROCESSES) + " ELSE 'mixed_or_unclear' END"
+    most = f"list_max(list_transform(regexp_extract_all({text}, '{values.COUNTED}', 1), lambda x: replace(x, ',', '')::BIGINT))"
+    export = f"CASE WHEN {_has(values.EXPORT_PITCH[0], text)} AND {_has(values.EXPORT_PITCH[1], text)} THEN 0.55 WHEN {_has(values.EXPORT, text)} THEN 0.92 ELSE 0.04 END::DOUBLE"
+    level = f"CASE WHEN {_has(values.URGENCY[2], body)} THEN 3 WHEN {_has(values.URGENCY[1], body)} THEN 2 WHEN {_has(values.URGENCY[0], body)} THEN 1 ELSE 0 END"
+    return f"""WITH {SAID}, s AS (SELECT doc_id, lower('s' || source) AS subject, lower('s' || source || ' ' || text) AS body, lower('{{"subject":"s' || source || '","body":"' || text || '","attachments":"none"}}') AS whole FROM said),
+      a AS (SELECT doc_id, {kind} AS kind, {process} AS process, {most} AS most, {level} AS level, {export} AS export_p, CASE WHEN {_has(values.QUANTITY, text)} THEN 0.88 ELSE 0.12 END::DOUBLE AS quantity_p FROM s)
       SELECT doc_id, kind, process, CASE WHEN most IS NULL THEN 'not_stated' WHEN most > 250 THEN 'production' WHEN most > 10 THEN 'low_volume' ELSE 'prototype' END AS volume,
       round(level*0.76 + (6 - level)*0.08, 4)::DOUBLE AS score, export_p, quantity_p FROM a"""
 
 
+def _routed() -> str:
+    """Rules and policy in one: the rules' strengths leave a few cases of the policy. A vague text is unsure; no
+    confidence reaches the exemption's bar; no sender is a known customer."""
+    rules = _rules()
+    body = f"CASE WHEN length({_strip('text')}) > 8000 THEN substring({_strip('text')}, 1, 8000) || ' [truncated]' ELSE coalesce({_strip('text')}, '') END"
+    start = f"""WITH {SAID}, t AS (SELECT doc_id, source, {body} AS b FROM said), s AS (SELECT doc_id, lower('s' || source) AS subject, lower('s' || source || ' ' || b) AS body, lower('{{"from":"' || source || ' <' || source || '@x.example.com>","subject":"s' || source || '","body":"' || b || '","attachments":"none"}}') AS whole FROM t),"""
+    found = rules[rules.index("a AS (SELECT doc_id, ") :].replace("SELECT doc_id, CASE", f"SELECT doc_id, {_has(values.VAGUE, 'body')} AS vague, CASE", 1)
+    found = found[: found.rindex("SELECT doc_id, kind")]
+    return f"""{start} {found}, l AS (SELECT *, most > 250 AS production, CASE WHEN export_p >= 0.5 THEN 'itar' WHEN vague THEN 'review' WHEN kind IN ('vendor_or_solicitation','other') THEN 'filtered' WHEN kind IN ('purchase_order','order_followup') THEN 'orders' WHEN process = 'mixed_or_unclear' THEN 'review' ELSE process END AS lane FROM a),
+      p AS (SELECT lane, CASE WHEN lane = 'filtered' THEN NULL WHEN level = 3 THEN 'P1' WHEN lane = 'orders' OR (lane = 'itar' AND kind IN ('purchase_order','order_followup')) THEN 'P2' WHEN level = 2 OR production THEN 'P2' ELSE 'P3' END AS priority FROM l)
+      SELECT lane, priority, count(*) AS n FROM p GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     d = decision_cte()
     d8 = decision_cte({"email_type_confidence": 0.8})[len("\nWITH ") :]
-    tlab = _text(EMAIL_TYPE_LABELS.values())
+    tlab = _text(values.EMAIL_TYPES.values())
     renamed = re.sub(r"(?m)(^|[ ,(])(o|w|s|s2|s3|s4|s5|s6|s7|s8|s9|s10|d) AS \(", r"\1z\2 AS (", d8)
     renamed = re.sub(r"FROM (o|w|s|s2|s3|s4|s5|s6|s7|s8|s9|s10)\n", r"FROM z\1\n", renamed)
     both = f"{d}, {renamed}"
-    assert SLA_DAYS == {"P1": 0, "P2": 2, "P3": 5}
-    labels = _text([*(x.upper() for x in DOC_TYPE_LABELS.values()), "DOCUMENT"])
-    cad = _text(att.CAD_ENDINGS)
-    notdraw = att.NOT_A_DRAWING
-    guess = f"{_text(SHOP.process_labels().values())}[prw1]"
+    labels = _text([*(x.upper() for x in values.DOC_TYPES), "DOCUMENT"])
+    cad = _text(values.CAD_ENDINGS)
+    notdraw = values.NOT_A_DRAWING
+    guess = f"{_text(values.PROCESS_LABELS.values())}[prw1]"
     budget = "list_reduce(list_prepend({'left': 6000::BIGINT, 'n': 0::BIGINT, 'out': ''}, list_transform(texts, lambda t: {'left': 0::BIGINT, 'n': length(t), 'out': t})), lambda a, b: {'left': a.left - CASE WHEN b.n > least(1800, greatest(200, a.left)) THEN length(regexp_replace(substring(b.out, 1, least(1800, greatest(200, a.left))), '\\s+$', '')) + 12 ELSE b.n END, 'n': 0::BIGINT, 'out': a.out || CASE WHEN a.out = '' THEN '' ELSE ',' END || CASE WHEN b.n > least(1800, greatest(200, a.left)) THEN length(regexp_replace(substring(b.out, 1, least(1800, greatest(200, a.left))), '\\s+$', '')) + 12 ELSE b.n END})"
     tidy = _squeeze(f"array_to_string(list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || 'A' || chr(10) || '12' || chr(10) || 'D D' || chr(10)), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: {_strip('l')}), lambda l: length(l) > 2 AND len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: length(w) > 1)) > 0), chr(10))".replace("{{", "{").replace("}}", "}"))
     noisy = "('  ' || replace(text, ' the ', chr(9) || chr(9) || '“the” — ') || chr(10) || ' ' || chr(10) || chr(10) || 'end ')"
@@ -186,6 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "content_sniff": "SELECT page_id, CASE WHEN page_id%4 IN (0, 1) THEN 'pdf' WHEN page_id%4=2 THEN 'png' END AS media FROM pages",
         "png_sizes": "SELECT p_partkey, p_partkey + 7 AS width, p_size::BIGINT AS height FROM part",
         "rules_decider": _rules(),
+        "routed_documents": _routed(),
         "url_hosts": r"SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
         "error_kinds": """WITH e AS (SELECT ([400,401,402,403,404,418,422,429,500,503,529])[event_id%11+1]::INT AS status, event_id%2=0 AS plan FROM events)
           SELECT status, CASE WHEN status=403 AND plan THEN 'billing' WHEN status IN (401,403) THEN 'auth' WHEN status=402 THEN 'billing' WHEN status=429 THEN 'rate_limit' WHEN status IN (400,422) THEN 'validation' WHEN status=404 THEN 'not_found'
