@@ -26,9 +26,9 @@ from .common import give_back, tokenizer_path
 from .token_counts import ChunkStore, byte_batches, joined, taken
 
 #: Bytes of text whose new words are merged together, and whose ids are put together at once.
-BATCH_BYTES, JOIN_BYTES = 8 << 20, 1 << 20
+BATCH_BYTES, JOIN_BYTES = 4 << 20, 1 << 20
 #: Bytes of chunks and their ids that a worker keeps from batch to batch and from task to task.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 32 << 20
 #: Letters whose normal form or case may depend on others; the rest are their own NFC form.
 _NOT_PLAIN = r"[^\x21-\x7e\xa1-\xac\xae-˿]"
 
@@ -253,6 +253,16 @@ def _slices(data, ends: np.ndarray) -> Iterator[memoryview]:
         at = e
 
 
+def _digests(bpe: PairIndexBPE, texts: pa.Array) -> pa.Array:
+    n, of_ids, of_text = [np.zeros(0, np.int64)], [], []
+    for part in _texts(texts):
+        for flat, counts in bpe.encode(part):
+            n.append(counts)
+            of_ids += [hashlib.sha256(x).hexdigest() for x in _slices(flat.astype("<u4").tobytes(), 4 * np.cumsum(counts))]
+            of_text += [hashlib.sha256(x.as_buffer()).hexdigest() for x in bpe.decode(flat, counts)]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], CODED.names)
+
+
 def bpe_digests(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     """A struct column: n_tokens, ids_sha256, decoded_sha256 of a text's encoding and its decoding.
     Null is as empty: no ids, and the digests of no bytes."""
@@ -260,31 +270,33 @@ def bpe_digests(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
 
     @F.arrow_udf(CODED)
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = pair_index_bpe(path)
         for texts in batches:
-            n, of_ids, of_text = [], [], []
-            for part in _texts(texts):
-                for flat, counts in bpe.encode(part):
-                    n.append(counts)
-                    of_ids += [hashlib.sha256(x).hexdigest() for x in _slices(flat.astype("<u4").tobytes(), 4 * np.cumsum(counts))]
-                    decoded = bpe.decode(flat, counts)
-                    of_text += [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *n])), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], CODED.names)
+            yield _digests(pair_index_bpe(path), texts)
+            del texts
         give_back()
 
     return digests(text)
 
 
+def _encoded(bpe: PairIndexBPE, texts: pa.Array) -> pa.Array:
+    """Arrays of ids, put together from whole buffers."""
+    flat, n = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for part in _texts(texts):
+        for ids, counts in bpe.encode(part):
+            flat.append(ids.astype(np.int32))
+            n.append(counts)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(n)).astype(np.int32)), pa.array(np.concatenate(flat)))
+
+
 def bpe_encode(text: Column, vocabulary: str = "word_bpe_49k.json") -> Column:
     """The ids of each text as an array column; null is as empty."""
     path = tokenizer_path(vocabulary)
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = pair_index_bpe(path)
         for texts in batches:
-            rows = [r for part in _texts(texts) for flat, counts in bpe.encode(part) for r in np.split(flat.astype(np.int32), np.cumsum(counts)[:-1])]
-            yield pa.array(rows, pa.list_(pa.int32()))
+            yield _encoded(pair_index_bpe(path), texts)
+            del texts
         give_back()
 
     return encode(text)

@@ -25,7 +25,7 @@ from .common import give_back, tokenizer_path
 BATCH_BYTES = 8 << 20
 LONG_BYTES = 1 << 20
 #: Bytes of chunks and their ids that a worker keeps from batch to batch and from task to task.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 32 << 20
 #: White space (any) and then a space: splitting at that space would cut a run of white space.
 _RUN = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _SPACE = _RUN[:-1]
