@@ -1,8 +1,8 @@
 """Removal of repeated passages by a hash-compared suffix sort.
 
 A passage is repeated if its MIN bytes start anywhere else, too. Every window of MIN bytes chooses
-an anchor, the place inside it whose gram of GRAM bytes has the least hash; equal windows choose
-equal anchors. So only suffixes that begin at anchors are sorted (a sparse suffix array), and only
+an anchor, the place in its first REACH bytes whose gram of GRAM bytes has the least hash; equal windows
+choose equal anchors. So only suffixes that begin at anchors are sorted (a sparse suffix array), and only
 those whose gram occurs more than once:
 
 1. Prefix polynomial hashes give the hash of any substring in constant time.
@@ -14,7 +14,7 @@ those whose gram occurs more than once:
 4. Classes of equal left extension are merged from the longest to the shortest. An anchor that
    enters a larger class meets only its two neighbours in suffix order, so a group of n anchors
    takes n log n pairs, never all. A pair with left extension L and right extension R repeats the
-   windows that begin between MIN - R and L bytes before the anchor.
+   windows that begin between MIN - R and L bytes before the anchor, and shares L + R bytes.
 
 Arithmetic is modulo 2**64 with an odd base: equal substrings always have equal hashes, so nothing
 repeated is missed; unequal ones with equal hashes are found out in step 3.
@@ -35,6 +35,11 @@ from pyspark.sql import functions as F
 from .common import cut, give_back, scan_parallelism, text_or_empty
 
 MIN, GRAM = 400, 100
+#: Bytes of the windows that choose anchors: equal windows of MIN bytes begin with equal ones of these, so they have
+#: an anchor in common, and so have shared strings between the two lengths, which are noted.
+REACH = 300
+#: A string of so many bytes that stands at two places is worth a note, though it may be too short to go.
+NOTED = 256
 #: Contexts of one key that are sorted in one task; the windows of more are told apart by longer keys.
 LIMIT = 1000
 #: Bytes that are sorted at once (a larger group is sorted alone).
@@ -206,10 +211,11 @@ def _verified(texts, at, order: list[int], common: list[int], forward: bool) ->
     return True
 
 
-def _group_pairs(order_r: list[int], common_r: list[int], order_l: list[int], common_l: list[int], least: int) -> dict[int, list[tuple[int, int]]]:
+def _group_pairs(order_r: list[int], common_r: list[int], order_l: list[int], common_l: list[int], least: int) -> tuple[dict[int, list[tuple[int, int]]], dict[int, int]]:
     """For the members of a group: ranges (from, to) of the bytes before the anchor at which a repeated
-    window begins."""
+    window begins; and the longest string about the anchor that another member shares."""
     found: dict[int, list[tuple[int, int]]] = {}
+    longest: dict[int, int] = {}
     rank = {e: r for r, e in enumerate(order_r)}
     n = len(order_r)
     table = [np.array(common_r)] if n > 64 else []
@@ -243,6 +249,8 @@ def _group_pairs(order_r: list[int], common_r: list[int], order_l: list[int], co
                 if 0 <= k < len(large):
                     s = large[k]
                     right = extension(min(r, s), max(r, s))
+                    for e in (order_r[r], order_r[s]):
+                        longest[e] = max(longest.get(e, 0), depth + right)
                     if least - right <= depth:
                         span = (max(0, least - right), depth)
                         found.setdefault(order_r[r], []).append(span)
@@ -250,16 +258,18 @@ def _group_pairs(order_r: list[int], common_r: list[int], order_l: list[int], co
         large += small
         large.sort()
         classes[a], parent[a] = [], b
-    return found
+    return found, longest
 
 
-def repeats(groups: list[list[tuple[bytes, int]]], least: int = MIN) -> list[dict[int, list[tuple[int, int]]]]:
-    """For each group of distinct contexts (string, anchor's place in it): the repeated ranges of members."""
+def repeats(groups: list[list[tuple[bytes, int]]], least: int = MIN, longest: list[dict[int, int]] | None = None) -> list[dict[int, list[tuple[int, int]]]]:
+    """For each group of distinct contexts (string, anchor's place in it): the repeated ranges of members. To
+    `longest`, if it is given, each group adds its members' longest shared strings."""
     texts = [t for g in groups for t, _ in g]
     at = np.array([a for g in groups for _, a in g], np.int64)
     sizes = np.array([len(g) for g in groups], np.int64)
     starts = np.cumsum(sizes) - sizes
     if not texts:
+        longest += [{} for _ in groups] if longest is not None else []
         return [{} for _ in groups]
     ctx = _Contexts(texts, at)
     places, sorted_ = at.tolist(), {}
@@ -275,7 +285,10 @@ def repeats(groups: list[list[tuple[bytes, int]]], least: int = MIN) -> list[dic
             if not _verified(texts, places, order, common, forward):
                 order, common = _exact(texts, places, list(range(s, s + n)), forward)
             both += [order, common]
-        out.append({e - s: spans for e, spans in _group_pairs(*both, least).items()} if n > 1 else {})
+        spans, shared = _group_pairs(*both, least) if n > 1 else ({}, {})
+        out.append({e - s: x for e, x in spans.items()})
+        if longest is not None:
+            longest.append({e - s: x for e, x in shared.items()})
     return out
 
 
@@ -295,16 +308,23 @@ def _settle(group: list[tuple[int, int, int, bytes]], answer: dict[int, list[tup
 
 
 def _emit(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """From rows (gram, sha, first: places in that text, place, ctx), sorted by gram, to (sha, lo, hi)."""
+    """From rows (gram, sha, first: places in that text, place, ctx), sorted by gram, to (sha, lo, hi,
+    longest): runs of repeated windows' starts, and (lo and hi -1) shared strings of NOTED bytes or more."""
     held: list[dict] = []
     size, gram, now = 0, None, {}
 
     def flush(groups: list[dict]) -> pd.DataFrame:
         distinct = [list(g) for g in groups]
-        out = []
-        for g, d, ans in zip(groups, distinct, repeats(distinct, least)):
-            out += _merge_starts(list(_settle(d, ans, g, least)))
-        return pd.DataFrame(out, columns=["sha", "lo", "hi"])
+        out, shared = [], []
+        for g, d, ans, notes in zip(groups, distinct, repeats(distinct, least, shared), shared):
+            out += [(*x, 0) for x in _merge_starts(list(_settle(d, ans, g, least)))]
+            best: dict[bytes, int] = {}
+            for e, context in enumerate(d):
+                n = len(context[0]) if len(g[context]) > 1 else notes.get(e, 0)
+                for row, _ in g[context] if n >= NOTED else ():
+                    best[row] = max(best.get(row, 0), n)
+            out += [(row, -1, -1, n) for row, n in best.items()]
+        return pd.DataFrame(out, columns=["sha", "lo", "hi", "longest"])
 
     for frame in frames:
         for g, row, first, place, text in zip(frame["gram"].tolist(), frame["sha"].tolist(), frame["first"].tolist(), frame["place"].tolist(), frame["ctx"].tolist()):
@@ -335,18 +355,35 @@ def _merge_starts(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]
     return [tuple(x) for x in out]
 
 
-def _narrower(least: int, gram: int) -> list[int]:
+def _narrower(offsets: int) -> list[int]:
     """How many neighbouring window offsets share a key at each level: all (the gram itself is the key),
     fewer, and at last one, where the key is the whole window."""
-    out = [least - gram + 1]
+    out = [offsets]
     while out[-1] > 1:
         out.append(-(-out[-1] // 7))
     return out
 
 
-def _crowded_windows(crowd: DataFrame, least: int, gram: int, limit: int) -> DataFrame:
-    """(cid, lo, hi): the repeated window starts of contexts (cid, place, ctx; all distinct) whose grams are
-    too common to be sorted in one task.
+#: What a sorted group gives: runs of starts, or a note.
+FOUND = "sha binary, lo long, hi long, longest long"
+
+
+def _crowded_notes(crowd: DataFrame, gram: int, step: int = 26) -> DataFrame:
+    """(cid, lo, hi, longest), with lo and hi -1: contexts of common grams that share a string of NOTED bytes about
+    the anchor with another one. Keys are what all windows of `step` neighbouring offsets have in common, so
+    a note is of NOTED - step + 1 bytes."""
+    at, a = F.col("place"), F.col("a")
+    each = crowd.select("cid", "place", "ctx", F.explode(F.sequence(F.lit(0), F.lit(max(NOTED - gram, 0)), F.lit(step))).alias("a"))
+    each = each.where((a <= at) & (at - a + NOTED <= F.length("ctx")))
+    keyed = each.select("cid", F.xxhash64("a", F.substring("ctx", (at - a + 1).cast("int"), F.lit(NOTED - step + 1))).alias("key"))
+    twice = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    none = F.lit(-1).cast("long")
+    return keyed.join(twice, "key", "left_semi").select("cid").distinct().select("cid", none.alias("lo"), none.alias("hi"), F.lit(NOTED - step + 1).cast("long").alias("longest"))
+
+
+def _crowded_windows(crowd: DataFrame, least: int, offsets: int, limit: int) -> DataFrame:
+    """(cid, lo, hi, longest): the repeated window starts of contexts (cid, place, ctx; all distinct) whose
+    grams are too common to be sorted in one task, and notes of what they share.
 
     A window begins some offset before the anchor. Offsets are dealt into ever narrower ranges; all windows
     of a range share the bytes from the anchor's farthest to its nearest, a longer string than the gram,
@@ -355,9 +392,9 @@ def _crowded_windows(crowd: DataFrame, least: int, gram: int, limit: int) -> Dat
     parts = scan_parallelism(crowd.sparkSession)
     at, last = F.col("place"), F.length("ctx") - least
     # the offsets that a context's windows have, and the range that is still to be searched
-    live = crowd.select("cid", F.lit(0).alias("a"), F.lit(least - gram + 1).alias("b"))
+    live = crowd.select("cid", F.lit(0).alias("a"), F.lit(offsets).alias("b"))
     found = None
-    for width in _narrower(least, gram)[1:]:
+    for width in _narrower(offsets)[1:]:
         cuts = F.sequence(F.col("a"), F.col("b") - 1, F.lit(width))
         each = live.join(crowd, "cid").select("cid", "place", "ctx", "b", F.explode(cuts).alias("a"))
         each = each.withColumn("b", F.least("b", F.col("a") + width)).where((F.col("a") <= at) & (F.col("b") > at - last))
@@ -365,15 +402,15 @@ def _crowded_windows(crowd: DataFrame, least: int, gram: int, limit: int) -> Dat
         if width == 1:
             keyed = each.select("cid", shared.alias("key"), (at - F.col("a")).alias("lo"))
             twice = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-            hits = keyed.join(twice, "key", "left_semi").select("cid", F.col("lo").cast("long").alias("lo"), F.col("lo").cast("long").alias("hi"))
+            hits = keyed.join(twice, "key", "left_semi").select("cid", F.col("lo").cast("long").alias("lo"), F.col("lo").cast("long").alias("hi"), F.lit(least).cast("long").alias("longest"))
             return hits if found is None else found.unionByName(hits)
         keyed = cut(each.select("cid", "a", "b", F.xxhash64("a", "b", shared).alias("key")))
         counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         met = cut(keyed.join(counts, "key"))
         few = met.where(F.col("n") <= limit).select("key", "cid").join(crowd, "cid")
         rows = few.select(F.col("key").alias("gram"), F.col("cid").alias("sha"), F.array(F.lit(0).cast("long")).alias("first"), "place", "ctx")
-        sorted_ = rows.repartition(parts, "gram").sortWithinPartitions("gram").mapInPandas(lambda frames: _emit(frames, least), "sha binary, lo long, hi long")
-        hits = sorted_.select(F.col("sha").alias("cid"), "lo", "hi")
+        sorted_ = rows.repartition(parts, "gram").sortWithinPartitions("gram").mapInPandas(lambda frames: _emit(frames, least), FOUND)
+        hits = sorted_.select(F.col("sha").alias("cid"), "lo", "hi", "longest")
         found = hits if found is None else found.unionByName(hits)
         live = met.where(F.col("n") > limit).select("cid", "a", "b")
         if not live.limit(1).count():
@@ -381,8 +418,9 @@ def _crowded_windows(crowd: DataFrame, least: int, gram: int, limit: int) -> Dat
     return found
 
 
-def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
-    """(sha, runs): for distinct texts, the starts of repeated windows. texts: sha, text; base: sha, place,
+def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram: int = GRAM, limit: int = LIMIT, reach: int = REACH) -> DataFrame:
+    """(sha, runs, longest): for distinct texts, the starts of repeated windows, and the longest shared string that
+    was seen about an anchor (null if none has NOTED bytes). texts: sha, text; base: sha, place,
     first, gram. A text that occurs twice is itself a repetition, so it does no harm if copies of it meet."""
     each = base.where(F.size("place") > 0).groupBy("sha").agg(F.any_value("place").alias("place"), F.any_value("first").alias("first"), F.any_value("gram").alias("gram"))
     each = cut(each)
@@ -403,7 +441,7 @@ def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram:
                 places: dict[tuple, list[int]] = {}  # a context that stands in a text again and again is one row
                 for e in ks:
                     k = e["k"]
-                    end = int(first[k + 1]) - 1 if k + 1 < len(first) else len(data) - least
+                    end = int(first[k + 1]) - 1 if k + 1 < len(first) else len(data) - reach
                     begin = int(first[k])
                     places.setdefault((int(grams[k]), int(place[k]) - begin, data[begin : end + least], e["hot"]), []).append(begin)
                 for (g, at, ctx, hot), firsts in places.items():
@@ -421,18 +459,18 @@ def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram:
     if crowded:
         ctx = cut(ctx)
     cool = ctx.where("not hot").drop("hot").repartition(parts, "gram").sortWithinPartitions("gram")
-    found = cool.mapInPandas(lambda frames: _emit(frames, least), "sha binary, lo long, hi long")
+    found = cool.mapInPandas(lambda frames: _emit(frames, least), FOUND)
     if crowded:
         many = ctx.where("hot").select("sha", "first", "place", "ctx", F.unhex(F.sha2(F.concat(F.col("place").cast("string").cast("binary"), F.lit(b":"), F.col("ctx")), 256)).alias("cid"))
         kinds = cut(many.groupBy("cid").agg(F.sum(F.size("first")).alias("n"), F.any_value("place").alias("place"), F.any_value("ctx").alias("ctx")))
         # all windows of a context that occurs twice are repeated
-        whole = kinds.where("n > 1").select("cid", F.lit(0).cast("long").alias("lo"), (F.length("ctx") - least).cast("long").alias("hi"))
-        hits = whole.unionByName(_crowded_windows(kinds.drop("n"), least, gram, limit))
+        whole = kinds.where((F.col("n") > 1) & (F.length("ctx") >= least)).select("cid", F.lit(0).cast("long").alias("lo"), (F.length("ctx") - least).cast("long").alias("hi"), F.length("ctx").cast("long").alias("longest"))
+        hits = whole.unionByName(_crowded_windows(kinds.drop("n"), least, reach - gram + 1, limit)).unionByName(_crowded_notes(kinds.drop("n"), gram))
         # a table of its own, so that the join is split where a context stands in many texts
-        runs = cut(hits.groupBy("cid").agg(F.array_distinct(F.collect_list(F.struct("lo", "hi"))).alias("rs")))
-        back = many.select("cid", "sha", "first").join(runs, "cid").select("sha", F.explode(F.flatten(F.transform("first", lambda f: F.transform("rs", lambda r: F.struct((f + r["lo"]).alias("lo"), (f + r["hi"]).alias("hi")))))).alias("r"))
-        found = found.unionByName(back.select("sha", "r.lo", "r.hi"))
-    return found.groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+        runs = cut(hits.groupBy("cid").agg(F.array_distinct(F.collect_list(F.when(F.col("lo") >= 0, F.struct("lo", "hi")))).alias("rs"), F.max("longest").alias("longest")))
+        back = many.select("cid", "sha", "first").join(runs, "cid").select("sha", "longest", F.explode_outer(F.flatten(F.transform("first", lambda f: F.transform("rs", lambda r: F.struct((f + r["lo"]).alias("lo"), (f + r["hi"]).alias("hi")))))).alias("r"))
+        found = found.unionByName(back.select("sha", F.coalesce("r.lo", F.lit(-1)).alias("lo"), F.coalesce("r.hi", F.lit(-1)).alias("hi"), "longest"))
+    return found.groupBy("sha").agg(F.collect_list(F.when(F.col("lo") >= 0, F.struct("lo", "hi"))).alias("runs"), F.max("longest").alias("longest"))
 
 
 def _covered(runs, least: int) -> list[list[int]]:
@@ -445,8 +483,10 @@ def _covered(runs, least: int) -> list[list[int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN, gram: int = GRAM, limit: int = LIMIT, reach: int = REACH) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256,
+    longest_shared (bytes of the longest string seen about an anchor that another place has, too: a note of
+    passages that may be too short to go; 0 below NOTED; it is no longer than a context, so a lower bound).
 
     Every byte inside a string of `least` bytes that starts at another place, too, of the same or any
     other document, is removed; null is as empty. Identifiers may be of any type, null, or repeated. A text that occurs more than once as a whole goes
@@ -461,7 +501,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out: list[list] = [[] for _ in schema]
             for text in b.column("text"):
                 data = text.as_buffer().to_pybytes()
-                values = (len(data), hashlib.sha256(data).digest(), *anchors(data, least, gram))
+                values = (len(data), hashlib.sha256(data).digest(), *anchors(data, reach, gram))
                 for col, v in zip(out, values):
                     col.append(v)
             made = [pa.array(c, f.type) for c, f in zip(out, schema)]
@@ -471,7 +511,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = plain.schema["doc_id"].dataType.simpleString()
     base = cut(plain.mapInArrow(scan, f"doc_id {kind}, n_bytes long, sha binary, place array<int>, first array<int>, gram array<long>"))
     copies = base.groupBy("sha").agg(F.count("*").alias("copies"))
-    found = repeated_windows(texts, base, least, gram, limit).join(copies.where("copies = 1"), "sha", "left_semi")
+    found = repeated_windows(texts, base, least, gram, limit, reach).join(copies.where("copies = 1"), "sha", "left_semi")
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
     def kept(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -486,18 +526,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
 
-    some = found.join(texts, "sha").select("sha", kept("text", "runs").alias("k"))
+    found = cut(found)
+    some = found.where(F.size("runs") > 0).join(texts, "sha").select("sha", kept("text", "runs").alias("k"))
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return (
         base.select("doc_id", "n_bytes", "sha")
         .join(copies, "sha")
         .join(some, "sha", "left")
+        .join(found.select("sha", "longest"), "sha", "left")
         .select(
             "doc_id",
             "n_bytes",
             F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("k.n_removed", F.lit(0))).cast("long").alias("n_removed"),
             F.when(all_gone, 1).otherwise(F.coalesce("k.n_spans", F.lit(0))).cast("long").alias("n_spans"),
             F.when(all_gone, nothing).otherwise(F.coalesce("k.kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+            F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("longest", F.lit(0))).cast("long").alias("longest_shared"),
         )
     )
