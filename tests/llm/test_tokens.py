@@ -173,3 +173,14 @@ def test_ids_of_a_table(spark, odd):
     tok = library("word_bpe_49k.json")
     got = {(r.doc_id, tuple(r.ids)) for r in pair_bpe.bpe_ids(odd).collect()}
     assert got == {(i, tuple(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD}
+
+
+def test_partitions_follow_the_size(spark, sf, monkeypatch, no_rows):
+    from triagelake.llm import common
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    least = common.scan_parallelism(spark)
+    assert common.size_parallelism(docs) == common.size_parallelism(no_rows) == least
+    monkeypatch.setattr(common, "TASK_BYTES", 10_000)
+    assert least < common.size_parallelism(docs) < 1000
+    assert common.size_parallelism(docs.crossJoin(docs.select("doc_id"))) < 2000  # sizes add up, whatever a join makes

@@ -82,6 +82,19 @@ def scan_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+#: Bytes of a table's files for each task that gets its texts by a shuffle (texts are some times as large unpacked).
+TASK_BYTES = 32 << 20
+
+
+def size_parallelism(df: DataFrame) -> int:
+    """Partitions for df's texts: as many as the size of the tables that it reads asks for, by what the plan
+    knows of their files; the session's number where that is more, or where a size is unknown. Costs no job."""
+    least = scan_parallelism(df.sparkSession)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return least if size >= 1 << 60 else max(least, min(1 << 17, -(-size // TASK_BYTES)))
+
+
 def tokenizer_path(name: str) -> str:
     """A public vocabulary file: a path as it stands, or the name of a file of public_tokenizers."""
     if os.sep in name:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, scan_parallelism, text_or_empty
+from .common import cut, give_back, scan_parallelism, size_parallelism, text_or_empty
 
 MIN, GRAM = 400, 100
 #: Bytes of the windows that choose anchors: equal windows of MIN bytes begin with equal ones of these, so they have
@@ -454,7 +454,7 @@ def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram:
 
     joined = wanted.join(texts, "sha").select("sha", "text", "ks", "place", "first", "gram")
     ctx = joined.mapInPandas(contexts, "gram long, sha binary, first array<long>, place long, ctx binary, hot boolean")
-    parts = scan_parallelism(texts.sparkSession)
+    parts = size_parallelism(texts)
     crowded = shared.where(F.col("n") > limit).limit(1).count() > 0
     if crowded:
         ctx = cut(ctx)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import give_back, scan_parallelism, tokenizer_path
+from .common import give_back, scan_parallelism, size_parallelism, tokenizer_path
 from .token_counts import BATCH_BYTES, byte_batches, encoder
 
 MAGIC = b"TLSSTBL1"
@@ -220,7 +220,7 @@ def write_tables(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
     by side. Shard files carry a random part in their names and count only once the manifest names
     them, so a task that is run again leaves the result as it is. The driver gets one row a shard."""
     spark, path = docs.sparkSession, tokenizer_path(vocabulary)
-    shards = shards or scan_parallelism(spark)
+    shards = shards or size_parallelism(docs)
     text_ids = isinstance(docs.schema[id_col].dataType, StringType)
     rows = (
         docs.select(F.col(id_col).cast("string" if text_ids else "long").alias("k"), F.col(text_col).cast("string").alias("t"))
