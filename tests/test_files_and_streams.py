@@ -253,3 +253,24 @@ def test_keys_are_taken_once_within_the_watermark(spark, tmp_path):
     records = stream.message_stream(spark, str(tmp_path / "in"), "key string, saved_ts timestamp, v int")
     stream.start(stream.first_answers(records), str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination(120)
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_files_of_all_kinds_in_a_plan(spark, sf):
+    """Specifications with nested rows, as columns: the file's text holds them."""
+    line = "named_struct('part_number','p1','rev','A','description','bolt','material','AL','finish','','quantities',array(10D,2500D),'notes','n')"
+    section = "array(named_struct('heading','Head','lines',array('one line','two lines')))"
+    orders = bridge.po_specs(spark, sf).orderBy("id").limit(3).select("a")
+    base = spark.range(1)
+    others = [
+        base.select(bridge.attachment(kind=F.lit("rfq_form"), rfq_number=F.lit("R7"), rfq_lines=F.expr(f"array({line})"), requirements=F.expr("array('one')")).alias("a")),
+        base.select(bridge.attachment(kind=F.lit("document"), doc_type=F.lit("cert"), title=F.lit("Title"), sections=F.expr(section)).alias("a")),
+        base.select(bridge.attachment(kind=F.lit("drawing"), shape=F.lit("ring"), legend=F.lit("itar"), revisions=F.expr("array(named_struct('rev','A','description','first','date','today'))")).alias("a")),
+        base.select(bridge.attachment(kind=F.lit("model"), shape=F.lit("disc"), units=F.lit("mm")).alias("a")),
+        base.select(bridge.attachment(kind=F.lit("name_only"), name=F.lit("x")).alias("a")),
+    ]
+    made = [r.f for df in [orders, *others] for r in df.select(layout.derived(F.col("a")).alias("f")).collect()]
+    assert [m.error for m in made] == [None] * 7 + ["no file for kind name_only"]
+    texts = [b" ".join(re.findall(rb"\((.*?)\) Tj", b"\n".join(whole_pdf(m.content)))) for m in made[:6]]  # lines in order
+    assert all(b"PURCHASE ORDER" in t and b"ORDER TOTAL: $" in t for t in texts[:3])
+    assert b"10 / 2,500" in texts[3] and b"1. one" in texts[3] and b"one line two lines" in texts[4] and b"CERTIFICATE" in texts[4] and b"A first today" in texts[5] and b"ARMS EXPORT" in texts[5]
+    assert made[6].media == "model/step" and made[6].pages is None and made[7].content is None

@@ -139,6 +139,9 @@ def _legend(a: Column) -> Column:
     return legend_text(a["legend"], a["company"], a["eccn"], F.coalesce(F.nullif(a["drawn_by"], F.lit("")), a["buyer"]))
 
 
+# Fixed values in the five texts that follow: the templates' wording, which is what the model reads.
+
+
 def drawing_text(a: Column) -> Column:
     revisions = F.array_join(F.transform(a["revisions"], lambda r: tx.strip(_say(clean(r["rev"]), " ", clean(r["description"]), " ", clean(r["date"])))), "; ")
     features = F.array_join(F.transform(a["callouts"], clean), "; ")

@@ -55,7 +55,8 @@ def unmatched(emails: DataFrame, customers: DataFrame, email_col: str = "from_em
 
 def decide(emails: DataFrame, shop: Shop, today: dt.date, bars: dict[str, float] | None = None) -> DataFrame:
     """emails (from_name, from_email, subject, attachments, answers, customer, expected_lane) with the
-    decision's columns. A missing confidence counts as zero; ties among options keep their order."""
+    decision's columns. A missing confidence counts as zero; ties among options keep their order. Fixed
+    values: the wording of reasons, meters, flags, missing parts and priorities."""
     th = shop.bars(bars)
     b = {k: F.lit(v) for k, v in th.items()}
     labels, model = shop.process_labels(), shop.model_name
@@ -191,7 +192,8 @@ def decide(emails: DataFrame, shop: Shop, today: dt.date, bars: dict[str, float]
 
 
 def _trace(shop: Shop, th: dict[str, float]) -> Column:
-    """The steps that led to the lane, in order; which ones there are depends on the branch."""
+    """The steps that led to the lane, in order; which ones there are depends on the branch. the
+    steps' wording."""
     a, col, model = F.col("answers"), F.col, shop.model_name
     et, pr, ex = a["email_type"], a["process"], a["export_controlled"]
     step = lambda label, detail, outcome: F.struct(F.lit(label).alias("label"), detail.alias("detail"), (F.lit(outcome) if isinstance(outcome, str) else outcome).alias("outcome"))
