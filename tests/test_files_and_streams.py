@@ -124,7 +124,7 @@ def test_settings(tmp_path):
     assert client.settings(paths, {"D": "real"}) == {"D": "real", "A": "1", "B": "two # 2", "E": "q", "F": "f"}
     found = {"MODEL_GATEWAY_KEY": "vk_123456789", "MODEL_API_KEY": "other", "MODEL_GATEWAY_URL": "http://x.example.com/", "MODEL_TIMEOUT_SECONDS": "soon"}
     cfg = client.model_config(found)
-    assert (cfg.endpoint, cfg.host, cfg.timeout, cfg.key_hint(), "key" in cfg.public()) == ("http://x.example.com/v1/systemone", "x.example.com", 20.0, "vk_123...(12 chars)", False)
+    assert (cfg.endpoint, cfg.host, cfg.timeout, cfg.key_hint(), "key" in cfg.public()) == ("http://x.example.com/v1/answers", "x.example.com", 20.0, "vk_123...(12 chars)", False)
     assert client.model_config({}) is None and client.model_config({"MODEL_API_KEY": "k", "MODEL_BASE_URL": "http://y"}).provider == "service (custom URL)"
     assert [client.retry_after(h, 0.0) for h in (None, {}, {"Retry-After": "3"}, {"retry-after-ms": "1500"}, {"retry-after": "-2"}, {"retry-after": "Thu, 01 Jan 1970 00:01:00 GMT"}, {"retry-after": "x"})] == [None, None, 3.0, 1.5, 0.0, 60.0, None]
 

@@ -25,7 +25,7 @@ from ..operators import records
 #: Settings: a gateway's key and address (they win), the service's own, and overrides.
 GATEWAY_KEY, GATEWAY_URL, SERVICE_KEY, SERVICE_URL = "MODEL_GATEWAY_KEY", "MODEL_GATEWAY_URL", "MODEL_API_KEY", "MODEL_API_URL"
 BASE_URL, MODEL, TIMEOUT = "MODEL_BASE_URL", "MODEL_NAME", "MODEL_TIMEOUT_SECONDS"
-PATH, TIMEOUT_SECONDS = "/v1/systemone", 20.0
+PATH, TIMEOUT_SECONDS = "/v1/answers", 20.0
 PROBE = {"is_rfq": {"type": "noul", "instructions": "Does the sender ask for a quote?"}}
 PROBE_TEXT = "Could you quote 25 pieces of the aluminium bracket in the attached drawing?"
 _SETTING = re.compile(r"""^(?:export\s+)?([^=\s#][^=]*?)\s*=\s*(?:(["'])(.*)\2|(.*?))\s*$""", re.I)
