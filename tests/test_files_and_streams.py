@@ -20,6 +20,7 @@ from triagelake.schemas import ANSWERS, ATTACHMENT, ATTACHMENT_FIELDS, Shop
 from triagelake.sources import client, read_config, read_env, read_files, read_inbox, read_records, write_records
 from triagelake.sources.inbox import pdf_text, read_pdf
 from triagelake.streaming import inbox as stream
+from triagelake.streaming import tables
 
 from .test_functions import jpeg, png
 from .test_operators import DAY, answers
@@ -274,3 +275,27 @@ def test_files_of_all_kinds_in_a_plan(spark, sf):
     assert all(b"PURCHASE ORDER" in t and b"ORDER TOTAL: $" in t for t in texts[:3])
     assert b"10 / 2,500" in texts[3] and b"1. one" in texts[3] and b"one line two lines" in texts[4] and b"CERTIFICATE" in texts[4] and b"A first today" in texts[5] and b"ARMS EXPORT" in texts[5]
     assert made[6].media == "model/step" and made[6].pages is None and made[7].content is None
+
+
+def test_state_that_a_stream_advances(spark, tmp_path):
+    """Uploads and requests in three micro-batches each; a batch that is run again changes nothing."""
+    for i in range(3):
+        rows = [(10 * i + k, 30, k % 2 == 0, 0.0 if k == 3 else 5000.0) for k in range(7)]
+        spark.createDataFrame(rows, "ord long, size long, attached boolean, added_at double").coalesce(1).write.json(str(tmp_path / "in" / str(i)))
+        spark.createDataFrame([(f"m{(2 * i + k) % 7}", k, f"k{(2 * i + k) % 7}") for k in range(3)], "id string, pos long, key string").coalesce(1).write.json(str(tmp_path / "asked" / str(i)))
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / name / "*"))
+    store = str(tmp_path / "store")
+    files = read("in", "ord long, size long, attached boolean, added_at double")
+    tables.start_table(files, store, str(tmp_path / "ck1"), tables.upload_store(300, lambda: 6000.0), once=True, keep=2).awaitTermination(120)
+    assert tables._versions(spark, store) == [1, 2] and tables.current(spark, store, 1) is None
+    kept = sorted(r.ord for r in tables.current(spark, store).collect())
+    assert kept == [10 * i + k for i in (1, 2) for k in (0, 1, 2, 4, 5, 6)][-10:]
+    again = tables.upload_store(300, lambda: 6000.0)(tables.current(spark, store, 2), spark.read.json(str(tmp_path / "in" / "2")).select("ord", "size", "attached", "added_at"), 2)
+    assert sorted(r.ord for r in again.collect()) == kept
+    ids = spark.createDataFrame([(f"m{i}",) for i in range(8)], "id string")
+    items = str(tmp_path / "items")
+    step = tables.requested_items(ids, spark.createDataFrame([("k1",)], "key string"))
+    tables.start_table(read("asked", "id string, pos long, key string"), items, str(tmp_path / "ck2"), step, once=True).awaitTermination(120)
+    state = {r.id: (r.status, r.queue.batch if r.queue else None) for r in tables.current(spark, items).collect()}
+    assert state["m1"] == ("done", None) and state["m7"] == ("idle", None) and all(state[f"m{i}"][0] == "queued" for i in (0, 2, 3, 4, 5, 6))
+    assert state["m2"][1] == 0 and state["m6"][1] == 2
