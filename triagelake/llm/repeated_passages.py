@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, scan_parallelism, size_parallelism, text_or_empty
+from .quality_ratio import sieved
 
 MIN, GRAM = 400, 100
 #: Bytes of the windows that choose anchors: equal windows of MIN bytes begin with equal ones of these, so they have
@@ -418,6 +419,13 @@ def _crowded_windows(crowd: DataFrame, least: int, offsets: int, limit: int) ->
     return found
 
 
+def _some(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The texts (sha, text) that marks (sha, ...) names, and a few others: most of the rest are kept out of the
+    shuffle by bits of a fixed size."""
+    found = sieved(texts.select(F.col("sha").alias("__doc"), "text"), marks.select(F.col("sha").alias("__id")))
+    return found.select(F.col("__doc").alias("sha"), "text")
+
+
 def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram: int = GRAM, limit: int = LIMIT, reach: int = REACH) -> DataFrame:
     """(sha, runs, longest): for distinct texts, the starts of repeated windows, and the longest shared string that
     was seen about an anchor (null if none has NOTED bytes). texts: sha, text; base: sha, place,
@@ -427,8 +435,8 @@ def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram:
     one = each.select("sha", F.posexplode("gram").alias("k", "gram"))
     # a table of its own: the join with it can be split where a gram is common
     shared = cut(one.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-    wanted = one.join(shared, "gram").groupBy("sha").agg(F.collect_list(F.struct("k", (F.col("n") > limit).alias("hot"))).alias("ks"))
-    wanted = wanted.join(each, "sha")
+    marks = cut(one.join(shared, "gram").groupBy("sha").agg(F.collect_list(F.struct("k", (F.col("n") > limit).alias("hot"))).alias("ks")))
+    wanted = marks.join(each, "sha")
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -452,7 +460,7 @@ def repeated_windows(texts: DataFrame, base: DataFrame, least: int = MIN, gram:
                         out, size = [], 0
             yield pd.DataFrame(out, columns=["gram", "sha", "first", "place", "ctx", "hot"])
 
-    joined = wanted.join(texts, "sha").select("sha", "text", "ks", "place", "first", "gram")
+    joined = wanted.join(_some(texts, marks), "sha").select("sha", "text", "ks", "place", "first", "gram")
     ctx = joined.mapInPandas(contexts, "gram long, sha binary, first array<long>, place long, ctx binary, hot boolean")
     parts = size_parallelism(texts)
     crowded = shared.where(F.col("n") > limit).limit(1).count() > 0
@@ -527,7 +535,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
 
     found = cut(found)
-    some = found.where(F.size("runs") > 0).join(texts, "sha").select("sha", kept("text", "runs").alias("k"))
+    repeated = found.where(F.size("runs") > 0)
+    some = repeated.join(_some(texts, repeated), "sha").select("sha", kept("text", "runs").alias("k"))
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return (
