@@ -21,11 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files for each task of costly work.
+TASK_BYTES = 2 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: a small table that comes in fewer splits than there are cores is dealt anew, a large
-    one stays as it is. For work that costs much more than moving its rows."""
+    """df over all cores, in more parts the larger its files are, so that no task grows with the table; one that
+    comes in as many splits stays as it is. For work that costs much more than moving its rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    parts = 2 * cores if size >= 1 << 60 else max(2 * cores, min(1 << 13, -(-size // TASK_BYTES)))
+    if df.rdd.getNumPartitions() >= parts:
+        return df
+    return df.repartition(parts if size > TASK_BYTES else cores)
 
 
 def attachment(**fields: Column) -> Column:
@@ -49,8 +58,13 @@ def _choice(probs: Column) -> Column:
     return an.normal_choice(raw)
 
 
-def with_answers(df: DataFrame, k: Column) -> DataFrame:
-    """df with answers that follow from a key: every lane's branch and every tie rule is met."""
+#: The answers that a message has here.
+ANSWERED = ("email_type", "process", "export_controlled", "urgency", "quantity_given", "drawings_provided", "outside_processing", "volume")
+
+
+def with_answers(df: DataFrame, k: Column, only: tuple[str, ...] = ANSWERED) -> DataFrame:
+    """df with answers that follow from a key: every lane's branch and every tie rule is met. What is not asked
+    for is not made: no plan can prune it once the answers are one struct."""
     bonus = lambda when, n: F.when(when, F.lit(n)).otherwise(F.lit(0))
     div = lambda n: F.floor(k / n)
     weights = lambda n, of: F.array(*[of(i) for i in range(n)])
@@ -60,30 +74,34 @@ def with_answers(df: DataFrame, k: Column) -> DataFrame:
     urgency = weights(4, lambda i: 1 + (k * (2 * i + 13) + 7 * i) % 23 + bonus(div(3) % 4 == i, 200))
     p = lambda c: F.struct(c.alias("p"))
     # in steps, so that each array is made once
-    df = df.withColumns({"__kind": kind, "__process": process, "__volume": volume, "__urgency": urgency})
-    keys = {"__kind": list(EMAIL_TYPE_LABELS), "__process": list(SHOP.process_labels()), "__volume": list(VOLUME_LABELS), "__urgency": ["0", "1", "2", "3"]}
-    df = df.withColumns({c: _shares(names, F.col(c)) for c, names in keys.items()})
-    df = df.withColumns({"__kind": _choice(F.col("__kind")), "__process": _choice(F.col("__process")), "__volume": _choice(F.col("__volume"))})
+    made = {"email_type": ("__kind", kind, list(EMAIL_TYPE_LABELS)), "process": ("__process", process, list(SHOP.process_labels())), "volume": ("__volume", volume, list(VOLUME_LABELS)), "urgency": ("__urgency", urgency, ["0", "1", "2", "3"])}
+    made = {name: m for name, m in made.items() if name in only}
+    df = df.withColumns({c: w for c, w, _ in made.values()})
+    df = df.withColumns({c: _shares(keys, F.col(c)) for c, _, keys in made.values()})
+    df = df.withColumns({c: _choice(F.col(c)) for name, (c, _, _) in made.items() if name != "urgency"})
     u = F.col("__urgency")
     score = F.struct(an.expected_score(u).alias("score"), an.confidence(u).alias("confidence"), F.lit(True).alias("confidence_estimated"), u.alias("probabilities"), F.lit(None).cast("map<string,string>").alias("legend"))
-    whole = F.struct(
-        F.col("__kind").alias("email_type"),
-        F.col("__process").alias("process"),
-        p((k * 37 % 101) / F.lit(200.0) + F.when(k % 11 == 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("export_controlled"),
-        score.alias("urgency"),
-        p((k * 53 % 101) / F.lit(100.0)).alias("quantity_given"),
-        p((k * 59 % 101) / F.lit(100.0)).alias("drawings_provided"),
-        p((k * 61 % 101) / F.lit(100.0)).alias("outside_processing"),
-        F.col("__volume").alias("volume"),
-    )
+    answers = {
+        "email_type": F.col("__kind"),
+        "process": F.col("__process"),
+        "export_controlled": p((k * 37 % 101) / F.lit(200.0) + F.when(k % 11 == 0, F.lit(0.5)).otherwise(F.lit(0.0))),
+        "urgency": score,
+        "quantity_given": p((k * 53 % 101) / F.lit(100.0)),
+        "drawings_provided": p((k * 59 % 101) / F.lit(100.0)),
+        "outside_processing": p((k * 61 % 101) / F.lit(100.0)),
+        "volume": F.col("__volume"),
+    }
+    whole = F.struct(*[c.alias(name) for name, c in answers.items() if name in only])
     # made once: a generator of one row keeps filters from being pushed into it
-    return df.select("*", F.inline(F.array(F.struct(whole.alias("answers"))))).drop("__kind", "__process", "__volume", "__urgency")
+    return df.select("*", F.inline(F.array(F.struct(whole.alias("answers"))))).drop(*[c for c, _, _ in made.values()])
 
 
-def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One message an order (without a body: see inbox_with_body)."""
+def inbox(spark: SparkSession, sf_dir: str, answers: tuple[str, ...] = ANSWERED) -> DataFrame:
+    """One message an order (without a body: see inbox_with_body), with these answers; without any, there is no
+    column of them."""
     k = F.col("o_orderkey")
-    o = with_answers(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")), k)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    o = with_answers(spread(o), k, answers) if answers else o
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
     files = F.array_compact(
         F.array(
@@ -98,7 +116,7 @@ def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("buyer"), F.col("o_custkey"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.com")).alias("from_email"),
         F.when(k % 8 == 0, F.lit(" (no subject) ")).otherwise(F.concat(F.lit("Order "), k, F.lit(" "), F.col("o_orderpriority"))).alias("subject"),
         files.alias("attachments"),
-        "answers",
+        *(["answers"] if answers else []),
         F.element_at(F.array(*map(F.lit, ("milling_3axis", "orders", "review"))), (k % 3 + 1).cast("int")).alias("expected_lane"),
     )
 

@@ -76,16 +76,16 @@ def answer_key_accuracy(spark, sf):
 
 
 def top2_types(spark, sf):
-    return inbox(spark, sf).select("id", an.top_two(F.col("answers.email_type.probabilities"), EMAIL_TYPE_LABELS).alias("top2"))
+    return inbox(spark, sf, ("email_type",)).select("id", an.top_two(F.col("answers.email_type.probabilities"), EMAIL_TYPE_LABELS).alias("top2"))
 
 
 def pair_confidence(spark, sf):
-    p = inbox(spark, sf).select("id", an.pair(F.col("answers.email_type.probabilities")).alias("pair"))
+    p = inbox(spark, sf, ("email_type",)).select("id", an.pair(F.col("answers.email_type.probabilities")).alias("pair"))
     return p.select("id", F.round("pair.confidence", 6).alias("confidence")).where("confidence is not null")
 
 
 def expected_urgency(spark, sf):
-    return inbox(spark, sf).select("id", F.round("answers.urgency.score", 6).alias("score"), F.round("answers.urgency.confidence", 6).alias("confidence"))
+    return inbox(spark, sf, ("urgency",)).select("id", F.round("answers.urgency.score", 6).alias("score"), F.round("answers.urgency.confidence", 6).alias("confidence"))
 
 
 def po_total(spark, sf):
