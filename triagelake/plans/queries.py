@@ -64,11 +64,11 @@ def threshold_change(spark, sf):
 
 
 def customer_tier_lookup(spark, sf):
-    return policy.with_customer(inbox(spark, sf), bridge.customers(spark)).select("id", "customer.name", "customer.tier")
+    return policy.with_customer(inbox(spark, sf, ()), bridge.customers(spark)).select("id", "customer.name", "customer.tier")
 
 
 def unmatched_senders(spark, sf):
-    return policy.unmatched(inbox(spark, sf), bridge.customers(spark)).select("id", tx.domain(F.col("from_email")).alias("domain"))
+    return policy.unmatched(inbox(spark, sf, ()), bridge.customers(spark)).select("id", tx.domain(F.col("from_email")).alias("domain"))
 
 
 def answer_key_accuracy(spark, sf):
@@ -174,7 +174,7 @@ def tidy_lines(spark, sf):
 
 def message_state(spark, sf):
     """Messages with bodies (an order whose number no document has comes without one): the parts of the state."""
-    m, d = inbox(spark, sf), table(spark, sf, "documents")
+    m, d = inbox(spark, sf, ()), table(spark, sf, "documents")
     b = m.join(d.select(F.col("doc_id").alias("body_id"), F.col("text").alias("body")), F.col("id") == F.col("body_id"), "left")
     s = b.select("id", att.state(F.col("from_name"), F.col("from_email"), F.col("subject"), F.col("body"), F.col("attachments")).alias("s"))
     return s.select("id", F.col("s.from").alias("sender"), "s.subject", F.md5(F.encode("s.body", "UTF-8")).alias("body"), F.md5(F.encode("s.attachments", "UTF-8")).alias("attachments"))
