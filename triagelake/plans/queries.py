@@ -357,7 +357,7 @@ SHAPES = (
 
 def mesh_bbox(spark, sf):
     """Every part as one of all shapes: its mesh's extents, and that its corners are where its faces say."""
-    p = part_specs(spark, sf).withColumn("shape", F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("p_partkey") % 25 + 1).cast("int")))
+    p = spread(part_specs(spark, sf).select("p_partkey", "size"), 1 << 19).withColumn("shape", F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("p_partkey") % 25 + 1).cast("int")))
     m = p.select("p_partkey", "shape", render.mesh("shape", "size").alias("m"))
     used = F.array_size(F.array_distinct(F.flatten("m.faces"))) == F.size("m.vertices")
     return m.select("p_partkey", "shape", *[F.col("m.bbox")[i].alias(c) for i, c in enumerate("xyz")], used.alias("all_used"))
