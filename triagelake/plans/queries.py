@@ -365,7 +365,7 @@ def mesh_bbox(spark, sf):
 
 def render_files(spark, sf):
     """The file of every part's drawing: what it is, how many pages, and that it is whole."""
-    d = _drawing(part_specs(spark, sf), "drawing").select("p_partkey", layout.derived(F.col("a")).alias("f"))
+    d = _drawing(spread(part_specs(spark, sf), 1 << 18), "drawing").select("p_partkey", layout.derived(F.col("a")).alias("f"))
     head = F.decode(F.substring("f.content", 1, 8), "ISO-8859-1")
     return d.select("p_partkey", "f.media", "f.pages", head.alias("head"), (F.length("f.content") > 1000).alias("long_enough"), F.contains("f.thumb", F.lit("PAGE 1 OF 1")).alias("numbered"), "f.error")
 
