@@ -93,19 +93,22 @@ def new_messages(posts: DataFrame, taken: DataFrame, examples: DataFrame, store:
 
 
 def attachment_at(messages: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (id, idx) with `attachment` and, of what is sent to the model, `file`, `text`, whether it was
-    cut (`truncated`) and how long it is as a whole (`full_chars`). messages holds the inbox and the examples
-    (X1, X2, ...); an unknown message or a place out of range gives nulls."""
-    m = messages.select("id", "attachments")
-    at = asked.join(m, "id", "left")
+    """asked (id, idx) with `attachment` and what sent_of gives. messages holds the inbox and the examples
+    (X1, X2, ...), each id once; an unknown message or a place out of range gives nulls."""
+    return sent_of(asked.join(messages.select("id", "attachments"), "id", "left")).drop("attachments")
+
+
+def sent_of(at: DataFrame) -> DataFrame:
+    """at (attachments, idx) with the `attachment` at the place and, of what is sent of it to the model, `file`,
+    `text`, whether it was cut (`truncated`) and how long it is as a whole (`full_chars`)."""
     one = F.when(F.col("idx") >= 0, F.get("attachments", F.col("idx")))
     sent = F.when(F.col("idx") >= 0, F.get(att.entries(F.col("attachments")), F.col("idx")))
-    out = at.select(*asked.columns, one.alias("attachment"), sent.alias("sent"))
-    text = F.col("sent.content")
-    return out.select(
-        *asked.columns, "attachment", F.col("sent.file").alias("file"), text.alias("text"), F.endswith(text, F.lit("[truncated]")).alias("truncated"),
-        F.when(F.col("attachment").isNotNull(), F.length(att.full_text(F.col("attachment")))).alias("full_chars"),
-    )
+    out = at.select("*", one.alias("attachment"), sent.alias("sent"))
+    text, there = F.col("sent.content"), F.col("attachment").isNotNull()
+    whole = att.full_text(F.col("attachment"))
+    # what is cut ends in the mark; a text may end so by itself
+    cut = F.when(F.endswith(text, F.lit("[truncated]")), text != tx.squeeze(whole)).otherwise(F.lit(False))
+    return out.select(*at.columns, "attachment", F.col("sent.file").alias("file"), text.alias("text"), F.when(there, cut).alias("truncated"), F.when(there, F.length(whole)).alias("full_chars"))
 
 
 def public(messages: DataFrame, store: DataFrame | None = None) -> DataFrame:
@@ -125,4 +128,4 @@ def public(messages: DataFrame, store: DataFrame | None = None) -> DataFrame:
     return m.select(*[c for c in messages.columns if c != "attachments"], described.alias("attachments"))
 
 
-__all__ = ["attachment_at", "checked", "example_files", "named_files", "names", "new_messages", "public", "upload_attachment", "upload_public"]
+__all__ = ["attachment_at", "checked", "example_files", "named_files", "names", "new_messages", "public", "sent_of", "upload_attachment", "upload_public"]
