@@ -105,8 +105,10 @@ class Engine:
 
     def remembered_files(self, attachments: DataFrame, id_cols: list[str]) -> DataFrame:
         """attachments (id_cols, a) with the derived file of each (content, media, thumb, pages, error): a
-        specification that occurs many times is drawn once. Specifications are told apart by digest."""
+        specification that occurs many times is drawn once. Specifications are told apart by digest. Equal ones
+        go in a hash table where they are read; only what is left is sorted for the first of each digest. The
+        join is a merge: both sides may be large, and Spark takes the attachments for small by their file."""
         key = F.sha2(F.to_json(F.col("a")), 256)
-        specs = attachments.select(key.alias("spec"), "a").dropDuplicates(["spec"])
+        specs = attachments.select(key.alias("spec"), "a").distinct().dropDuplicates(["spec"])
         made = specs.select("spec", layout.derived(F.col("a")).alias("file"))
-        return attachments.withColumn("spec", key).join(made, "spec").select(*id_cols, "a", "file.*")
+        return attachments.withColumn("spec", key).hint("merge").join(made, "spec").select(*id_cols, "a", "file.*")
