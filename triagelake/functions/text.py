@@ -84,9 +84,13 @@ def quantity_list(q: Column) -> Column:
 
 def tidy_lines(c: Column) -> Column:
     """Without lines of up to two characters or of single characters only; squeezed."""
-    lines = F.transform(F.split(blank(c), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip)
-    keep = F.filter(lines, lambda x: (F.length(x) > 2) & ~F.forall(F.split(x, r"(?U)\s+"), lambda w: F.length(w) <= 1))
-    return squeeze(F.array_join(keep, "\n"))
+    lines = F.split(blank(c), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    # a search of two characters first: few lines have white space at an edge
+    edged = lambda x: F.regexp_like(F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1)), F.lit(r"(?U)[\s\x1c-\x1f]"))
+    stripped = F.transform(lines, lambda x: F.when(edged(x), strip(x)).otherwise(x))
+    keep = F.filter(stripped, lambda x: (F.length(x) > 2) & F.regexp_like(x, F.lit(r"(?U)\S\S")))
+    # no line is blank or has an edge left, so this is all of squeeze that there is to do
+    return F.regexp_replace(F.array_join(keep, "\n"), r"[ \t\f\x0B]+", " ")
 
 
 def join_lines(parts: list[Column]) -> Column:
