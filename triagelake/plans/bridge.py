@@ -27,13 +27,13 @@ TASK_BYTES = 2 << 20
 
 def spread(df: DataFrame, task_bytes: int | None = None) -> DataFrame:
     """df over all cores, in more parts the larger its files are, so that no task grows with the table; one that
-    comes in as many splits stays as it is. For work that costs much more than moving its rows; the costlier, the smaller task_bytes."""
+    comes in two splits a core stays as it is. For work that costs much more than moving its rows; the costlier, the smaller task_bytes."""
     task_bytes = task_bytes or TASK_BYTES
     cores = df.sparkSession.sparkContext.defaultParallelism
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     parts = 2 * cores if size >= 1 << 60 else max(2 * cores, min(1 << 13, -(-size // task_bytes)))
-    if df.rdd.getNumPartitions() >= parts:
+    if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(parts if size > task_bytes else cores)
 
